@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, licenses, sharding
+from . import bpe, licenses, lmscore, pii, quality, sharding, simhash
 
 QUERIES = {
+    "op1_lmscore": lmscore.op1_lmscore,
     "op2_bpe": bpe.op2_bpe,
+    "op3_quality": quality.op3_quality,
+    "op4_pii": pii.op4_pii,
+    "op5_simhash": simhash.op5_simhash,
     "op6_sharding": sharding.op6_sharding,
     "op10_licenses": licenses.op10_licenses,
 }
