@@ -181,9 +181,12 @@ class Encoder:
                 token = out.pop()
                 at -= size[token]
 
+    def pattern_for(self, text: str) -> re.Pattern:
+        return self.common if len(text.encode("utf-16-le")) == 2 * len(text) else self.pattern
+
     def runs(self, text: str):
         """The text's ids, run by run."""
-        pattern = self.common if len(text.encode("utf-16-le")) == 2 * len(text) else self.pattern
+        pattern = self.pattern_for(text)
         if len(text) <= LONG:
             yield list(chain.from_iterable(map(self.memo.__getitem__, pattern.findall(text))))
             return
@@ -197,14 +200,16 @@ class Encoder:
     def decode(self, ids) -> bytes:
         return b"".join(map(self.bytes.__getitem__, ids))
 
-    def digest(self, text: str) -> tuple[int, str, str]:
-        """Number of ids, SHA-256 of the ids, SHA-256 of the bytes that they decode to."""
+    def digest(self, text: str, keep: list[int] | None = None) -> tuple[int, str, str]:
+        """Number of ids, SHA-256 of the ids, SHA-256 of the bytes that they decode to; the ids are added to `keep`."""
         n, ids_sha, bytes_sha = 0, hashlib.sha256(), hashlib.sha256()
         for ids in self.runs(text):
             if ids:
                 ids_sha.update(("," * (n > 0) + ",".join(map(self.text.__getitem__, ids))).encode())
                 bytes_sha.update(self.decode(ids))
                 n += len(ids)
+                if keep is not None:
+                    keep.extend(ids)
         return n, ids_sha.hexdigest(), bytes_sha.hexdigest()
 
 
@@ -246,10 +251,11 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, ids: bool = False
         e = encoder(shared)
         for batch in it:
             for start, texts in slices(batch.column(1)):
-                cols = list(zip(*(e.digest(t or "") for t in texts)))
+                kept = [[] if ids else None for _ in texts]
+                cols = list(zip(*(e.digest(t or "", k) for t, k in zip(texts, kept))))
                 own = [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.string())]
                 if ids:
-                    own.append(pa.array([e.encode(t or "") for t in texts], pa.list_(pa.int32())))
+                    own.append(pa.array(kept, pa.list_(pa.int32())))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(texts)), *own], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: 4 + ids])
 
     rows = pick(docs, "doc_id", "text")

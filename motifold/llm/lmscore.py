@@ -5,7 +5,7 @@ Counts of all (context, byte) pairs of the training texts are gathered by Spark,
 context is never more frequent than its suffixes and prefixes, these are kept too. So the model that is
 broadcast has a fixed bound: NODES rows of 257 entries at most.
 
-Escapes are estimated by method C, and bytes seen in a longer context are excluded from the shorter one.
+Escapes are estimated by method D (of each byte's count, half a one goes to the escape), and bytes seen in a longer context are excluded from the shorter one.
 As the trained model doesn't change, each node's code lengths for all bytes are worked out once, from
 short contexts to long ones, and the trie becomes a table of transitions: the next node is the longest
 suffix of what was read that the trie holds. Texts are scored many runs at a time.
@@ -23,7 +23,9 @@ from pyspark.sql import DataFrame, functions as F
 from .common import documents, pick, slices, stage
 
 #: Bytes of the longest context; contexts kept in the trie.
-ORDER, NODES = 5, 131_072
+ORDER, NODES = 5, 65_536
+#: What a byte's count in a context gives to the escape.
+HALF = 0.5
 #: Ends a text and stands before it; this byte is in no UTF-8.
 MARK = 0xFF
 #: Bytes of text handled at a time; of a chunk whose words are numbered together; of a run scored in step.
@@ -105,26 +107,27 @@ class Trie:
         prob = np.zeros_like(counts)
         step = np.zeros((len(nodes), size), np.uint16 if len(nodes) <= 1 << 16 else np.int32)
         for o in range(int(orders.max()) + 1):
-            own = np.flatnonzero(orders == o)
-            have = counts[own] > 0
-            if o == 0:
-                rest[own] = 1 / unseen
-            else:
-                up = np.searchsorted(nodes, (o - 1) << 56 | contexts[own] & ((1 << 8 * (o - 1)) - 1))
-                step[own] = step[up]
-                left = np.where(have, 0, counts[up])  # what exclusion leaves of the shorter context
-                kinds = (left > 0).sum(1, keepdims=True)
-                total = np.maximum(left.sum(1, keepdims=True) + kinds, 1e-30)
-                escape = np.where(kinds > 0, kinds / total, 1.0)
-                rest[own] = np.where(left > 0, left / total, escape * rest[up])
-            kinds = have.sum(1, keepdims=True)
-            total = np.maximum(counts[own].sum(1, keepdims=True) + kinds, 1e-30)
-            prob[own] = np.where(have, counts[own] / total, np.where(kinds > 0, kinds / total, 1.0) * rest[own])
+            found = np.flatnonzero(orders == o)
+            for own in np.array_split(found, -(-len(found) // 4096)):
+                have = counts[own] > 0
+                if o == 0:
+                    rest[own] = 1 / unseen
+                else:
+                    up = np.searchsorted(nodes, (o - 1) << 56 | contexts[own] & ((1 << 8 * (o - 1)) - 1))
+                    step[own] = step[up]
+                    left = np.where(have, 0, np.maximum(counts[up] - HALF, 0))  # what exclusion leaves of the shorter context
+                    kinds = (left > 0).sum(1, keepdims=True)
+                    total = np.maximum(left.sum(1, keepdims=True) + HALF * kinds, 1e-30)
+                    escape = np.where(kinds > 0, HALF * kinds / total, 1.0)
+                    rest[own] = np.where(left > 0, left / total, escape * rest[up])
+                kinds = have.sum(1, keepdims=True)
+                total = np.maximum(counts[own].sum(1, keepdims=True), 1e-30)
+                prob[own] = np.where(have, (counts[own] - HALF) / total, np.where(kinds > 0, HALF * kinds / total, 1.0) * rest[own])
             longer = np.flatnonzero(orders == o + 1)
             if len(longer):  # reading a context's last byte at its prefix leads to it
                 prefix = np.searchsorted(nodes, o << 56 | contexts[longer] >> 8)
                 step[prefix, self.classes[contexts[longer] & 0xFF]] = longer
-        self.step, self.cost = step.ravel(), np.log10(prob).astype(np.float32).ravel()
+        self.step, self.cost = step.ravel(), np.log10(prob, out=prob).ravel()
         self.size = size
 
     def score(self, texts: list[bytes], order: int = ORDER):
@@ -186,8 +189,8 @@ def train(rows: DataFrame, order: int = ORDER, nodes: int = NODES) -> Trie:
     top = after.groupBy("o", "c").agg(F.sum("n").alias("m")).orderBy(F.desc("m"), "o", "c").limit(nodes).select("o", "c")
     top = stage(top)
     kept = after.join(F.broadcast(top), ["o", "c"])  # `nodes` rows at most
-    got = kept.toPandas()  # `nodes` times 257 rows at most
-    return Trie(*(got[c].to_numpy(np.int64) for c in ("o", "c", "byte", "n")))
+    got = kept.toArrow()  # `nodes` times 256 rows at most
+    return Trie(*(got[c].to_numpy().astype(np.int64) for c in ("o", "c", "byte", "n")))
 
 
 STAGED = "chunk bigint, doc_id {kind}, held_out boolean, score double, n_words bigint, ids binary, word binary, local int, n bigint"
