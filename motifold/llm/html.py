@@ -23,6 +23,7 @@ HIDDEN = frozenset("head script style template noscript title meta link base dat
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table caption tbody td tfoot th thead tr ul".split()
 )
+TABLE_PARTS = frozenset("caption col colgroup tbody thead tfoot tr td th".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table pre blockquote figure hr".split())
 #: A start tag closes the open elements named here, but not beyond the ones that bound the search.
 CLOSES = {
@@ -41,10 +42,11 @@ BLANKS = re.compile(r"[ \t\n\r\f]+")
 
 
 class Node:
-    __slots__ = ("attributes", "children", "tag")
+    __slots__ = ("attributes", "children", "tabled", "tag")
 
-    def __init__(self, tag: str, attributes: dict[str, str] | None = None):
+    def __init__(self, tag: str, attributes: dict[str, str] | None = None, tabled: bool = False):
         self.tag, self.attributes, self.children = tag, attributes or {}, []
+        self.tabled = tabled or tag == "table"  # whether it is in a table, or is one
 
 
 def parse(html: str) -> Node:
@@ -67,10 +69,10 @@ def parse(html: str) -> Node:
             _end(stack, tag)
             continue
         attributes = {k.lower(): unescape(a or b or c) for k, a, b, c in ATTRIBUTE.findall(m[3])} if m[3] else None
-        if tag == "html":
+        if tag == "html" or (tag in TABLE_PARTS and not stack[-1].tabled):
             continue
         _start(stack, tag)
-        node = Node(tag, attributes)
+        node = Node(tag, attributes, stack[-1].tabled)
         stack[-1].children.append(node)
         if tag in RAW or tag in PLAIN:
             end = re.compile(f"</{re.escape(tag)}(?=[\\s/>])[^>]*>|\\Z", re.I).search(html, at)
@@ -122,7 +124,7 @@ def _start(stack: list[Node], tag: str) -> None:
 
 
 def _imply(stack: list[Node], tag: str) -> None:
-    node = Node(tag)
+    node = Node(tag, None, stack[-1].tabled)
     stack[-1].children.append(node)
     stack.append(node)
 

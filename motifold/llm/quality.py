@@ -62,11 +62,12 @@ class Grams:
         a = np.frombuffer(b"\n".join(raws), np.uint8)
         starts = np.cumsum([0, *(len(r) + 1 for r in raws)])
         owner = np.repeat(np.arange(len(raws), dtype=np.int32), np.diff(starts))[: len(a)]
+        owner[starts[1:-1] - 1] = -1  # what stands between two texts is of neither
         u = a.astype(np.uint32)
         gram = np.zeros(max(0, len(a) - GRAM + 1), np.uint32)
         for j in range(GRAM):
             gram = gram * np.uint32(0x01000193) + u[j : j + len(gram)]
-        whole = owner[: len(gram)] == owner[GRAM - 1 :] if len(gram) else np.zeros(0, bool)
+        whole = (owner[: len(gram)] == owner[GRAM - 1 :]) & (owner[: len(gram)] >= 0) if len(gram) else np.zeros(0, bool)
         chars, of_char = _bucket(gram.astype(np.uint64))[whole], owner[: len(gram)][whole]
 
         ink = ~((a == 32) | ((a >= 9) & (a <= 13)))
