@@ -29,9 +29,9 @@ HALF = 0.5
 #: Ends a text and stands before it; this byte is in no UTF-8.
 MARK = 0xFF
 #: Bytes of text handled at a time; of a chunk whose words are numbered together; of a run scored in step.
-RUN, CHUNK, STEP = 1 << 22, 1 << 25, 256
+RUN, CHUNK, STEP = 1 << 21, 1 << 25, 256
 #: Distinct words of a chunk, and distinct n-grams held by a task, after which they are passed on.
-WORDS, GRAMS = 1 << 20, 1 << 21
+WORDS, GRAMS = 1 << 20, 1 << 20
 
 
 def segments(texts: list[bytes], order: int = ORDER, run: int = RUN):
