@@ -101,10 +101,12 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     edges = stage(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")))
     seen = None
     for _ in range(rounds):
+        # smallest neighbours are written first: a join of two tables can split a node that a third of all links share,
+        # one with an aggregation in its stage can't
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = stage(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
+        large = stage(both.join(low, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        low = stage(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
         edges = stage(small.where(F.col("u") != F.col("v")).distinct())
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
