@@ -38,6 +38,8 @@ GENERATORS = [
     ("secret", "[0-9]", r"(?<![A-Za-z0-9])[A-Z0-9]{16,64}(?![A-Za-z0-9])"),
     ("secret", "[0-9]", r"(?<![A-Za-z0-9])[a-f0-9]{32,128}(?![A-Za-z0-9])"),
     ("phone", "[0-9]{3}", r"(?<![0-9+])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])"),
+    # next to other digits, the base pattern takes both for one number, which then fails
+    ("card", NEEDS["card"], r"(?<![0-9])(?:(?:[0-9]{4}[ -]?){3}[0-9]{4}|3[47][0-9]{2}[ -]?[0-9]{6}[ -]?[0-9]{5})(?![0-9])"),
     ("id", "[0-9]-[0-9]", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
 ]
 AROUND = 24
@@ -106,7 +108,7 @@ def _holds(kind: str, x: Column) -> Column:
     return F.lit(True)
 
 
-FEATURES = ["kind", "length", "digits", "upper", "lower", "other", "hexes", "variety", "word", "keyword", "told", "quoted", "money", "joined"]
+FEATURES = ["kind", "length", "digits", "upper", "lower", "other", "hexes", "variety", "word", "keyword", "told", "quoted", "money", "joined", "luhn"]
 
 
 def _features(kind: Column, x: Column) -> Column:
@@ -126,6 +128,7 @@ def _features(kind: Column, x: Column) -> Column:
         "quoted": v.rlike("[\"']").cast("int"),
         "money": before.rlike(r"(commit|sha|md5|hash|checksum|isbn|order|invoice|version|part|serial|batch|digest|revision|ticket|item|no\.?|#|[$€]) *[:=]? *$").cast("int"),
         "joined": before.rlike("[A-Za-z0-9_/.-]$").cast("int"),
+        "luhn": F.when((F.length(_digits(core)) >= 12) & (F.length(_digits(core)) <= 19), _luhn(core)).otherwise(False).cast("int"),
     }
     return F.struct(*(all_[n].cast("double").alias(n) for n in FEATURES))
 
@@ -153,7 +156,18 @@ def _examples(n: int, seed: int) -> list[tuple[str, int]]:
     word = lambda: pool(string.ascii_lowercase, r.randint(2, 9))
     phone = lambda: r.choice(["{}-{}-{}", "({}) {}-{}", "{}.{}.{}", "{} {} {}"]).format(pool(digits, 3), pool(digits, 3), pool(digits, 4))
     mixed = string.ascii_letters + digits
+
+    def card(right: bool) -> str:
+        body = r.choice("3456") + pool(digits, 14)
+        each = [int(c) * (2 - i % 2) for i, c in enumerate(body)]
+        check = -sum(x - 9 if x > 9 else x for x in each) % 10
+        number = body + str(check if right else (check + r.randint(1, 9)) % 10)
+        between = r.choice(["", "", " ", "-"])
+        return between.join(number[i : i + 4] for i in range(0, 16, 4))
+
     good = [
+        lambda: card(True),
+        lambda: card(True),
         lambda: f'{r.choice(["token", "secret", "api_key", "auth"])}{r.choice([" = ", "=", ": "])}"{pool(hexes, r.choice([32, 40, 64]))}"',
         lambda: f"{r.choice(['password', 'passwd', 'pwd'])}{r.choice(['=', ' = ', ': '])}{pool(r.choice([hexes, mixed]), r.randint(10, 24))}",
         lambda: f"{r.choice(['api-key', 'access_key', 'token'])}={pool(mixed, r.randint(16, 40))}",
@@ -165,7 +179,9 @@ def _examples(n: int, seed: int) -> list[tuple[str, int]]:
         lambda: f"{r.choice(['token', 'secret', 'key', 'password', 'auth'])}{r.choice([': ', ' = ', '='])}{word()}",
         lambda: f"{r.choice(['commit', 'sha', 'md5', 'hash', 'checksum', 'revision'])} {pool(hexes, r.choice([32, 40, 64]))}",
         lambda: f"{r.choice(['order', 'serial', 'part', 'batch', 'ticket', 'item'])} {pool(caps, r.randint(16, 24))}",
-        lambda: pool(digits, r.randint(16, 40)),
+        lambda: pool(digits, r.randint(20, 40)),
+        lambda: card(False),
+        lambda: card(False),
         lambda: pool(string.ascii_uppercase, r.randint(16, 30)),
         lambda: f"{r.choice(['order', 'isbn', 'invoice', 'part', 'serial'])} {pool(digits, 3)}-{pool(digits, 2)}-{pool(digits, 4)}",
         lambda: f"{r.choice(['order', 'serial', 'part', 'version', 'invoice', 'item'])} {phone()}",

@@ -20,7 +20,7 @@ from motifold.llm.common import pick
 DATA = "/root/testdata/sf0.001"
 ODD = [
     (1, "The cat sat on the mat. " * 20), (2, None), (3, ""), (4, " \n\t "), (5, "Ünï €🙂 x\x1cy " * 30), (5, "same id"), (6, "The cat sat on the mat. " * 20),
-    (6, "The cat sat on the mat. " * 20), (None, "no id"), (7, "long " * 60_000), (8, "x" * 50_000), (9, "a@b.co 1.2.3.4 4111 1111 1111 1111 +1 (555) 010-9999"),
+    (6, "The cat sat on the mat. " * 20), (None, "no id"), (7, "long " * 60_000), (8, "x" * 50_000), (9, "a@b.co 1.2.3.4 or 4111 1111 1111 1111 +1 (555) 010-9999"),
 ]
 
 
@@ -254,7 +254,7 @@ def test_base_spans(spark, odd, empty, texts):
     for d, t in rows:
         own, joined = slow_pii(d, t)
         want.setdefault(own, joined)
-    assert Counter(k for k, n in got.items() for _ in range(n) for k in [k[0]]) == Counter(slow_pii(d, t)[0] for d, t in rows)
+    assert Counter(own for (own, _), n in got.items() for _ in range(n)) == Counter(slow_pii(d, t)[0] for d, t in rows)
     for (own, spans), _ in got.items():
         assert set(filter(None, want[own].split(","))) <= set(spans.split(","))
     assert pii.personal_data(empty).count() == 0
@@ -270,9 +270,15 @@ def test_method_finds_secrets_and_leaves_clean_texts(spark, texts):
     assert all(by[i] == "" for i in range(1, 5))
 
 
+def test_method_finds_cards_that_the_base_drops(spark):
+    rows = [(0, "4111111111111111 4111111111111111"), (1, "at 1.2.3.4 4111 1111 1111 1111 now"), (2, "4111111111111112 4111111111111112")]
+    got = {r.doc_id: (r.n_card, r.spans) for r in pii.personal_data(table(spark, rows)).collect()}
+    assert got == {0: (0, "card:0:16,card:17:33"), 1: (0, "ip:3:10,card:11:30"), 2: (0, "")}
+
+
 def test_redaction(spark, odd):
     got = {r.doc_id: r.text for r in pii.redact(odd).collect()}
-    assert got[9] == "[EMAIL] [IP] [CARD] [PHONE]" and got[2] is None and got[3] == ""
+    assert got[9] == "[EMAIL] [IP] or [CARD] [PHONE]" and got[2] is None and got[3] == ""
     assert pii.redact(odd).columns == odd.columns
 
 
