@@ -176,6 +176,9 @@ ORACLE = {
  s AS (SELECT e.src AS x, SUM(degree - 1) AS s FROM e JOIN g ON g.id = e.dst GROUP BY 1)
  SELECT CAST(SUM((c * (c - 1) // 2) * (s.s - CASE WHEN e.src IS NULL THEN 0 ELSE g.degree - 1 END) - (c - 1) * dd) AS BIGINT) AS n
  FROM w JOIN s USING (x) JOIN g ON g.id = w.z LEFT JOIN e ON e.src = w.x AND e.dst = w.z WHERE c >= 2""",
+    "fish": RU + _T + """y AS MATERIALIZED (SELECT unnest([v1, v2, v3]) AS x, unnest([v2, v1, v1]) AS y, unnest([v3, v3, v2]) AS z FROM t),
+ k AS MATERIALIZED (SELECT w.src AS x, w.dst AS w, a.dst AS a, b.dst AS b FROM e w JOIN e a ON a.src = w.dst AND a.dst <> w.src JOIN e b ON b.src = a.dst AND b.dst < w.dst JOIN e c ON c.src = w.src AND c.dst = b.dst)
+ SELECT COUNT(*) AS n FROM y JOIN k USING (x) WHERE w <> y AND w <> z AND a <> y AND a <> z AND b <> y AND b <> z""",
     "bfs_levels": D + _LEVELS.format(limit=40) + "SELECT CAST(level AS BIGINT) AS level, COUNT(*) AS n_nodes FROM l GROUP BY 1",
     "path_length": D + _LEVELS.format(limit=40) + "SELECT CAST(MAX(level) AS BIGINT) AS n FROM l",
     "path_length_4": D + _LEVELS.format(limit=4) + "SELECT CAST(MAX(level) AS BIGINT) AS n FROM l",
