@@ -1,14 +1,13 @@
 """Language-model scores: prediction by partial matching (PPM) over bytes, and a base of word counts.
 
-Counts of all (context, byte) pairs of the training texts are gathered by Spark, for contexts of 0 to
-`ORDER` bytes. The trie keeps the `NODES` most frequent contexts, with all bytes seen after each; as a
-context is never more frequent than its suffixes and prefixes, these are kept too. So the model that is
-broadcast has a fixed bound: NODES rows of 257 entries at most.
+All n-grams of `ORDER` bytes of context and a byte are kept, however rare and however many: they are what the
+model is. They are packed for each chunk of texts and dealt out by the last `TAIL` bytes of their contexts, so a shard
+has all that the code lengths of its n-grams need of contexts of TAIL bytes and more; the shorter ones are
+few (256 ** TAIL n-grams at most) and are broadcast. The code length of each n-gram that a chunk has
+goes back to the chunk, whose texts are scored by looking their n-grams up. Nothing of the longer contexts is gathered
+in one place.
 
 Escapes are estimated by method D (of each byte's count, half a one goes to the escape), and bytes seen in a longer context are excluded from the shorter one.
-As the trained model doesn't change, each node's code lengths for all bytes are worked out once, from
-short contexts to long ones, and the trie becomes a table of transitions: the next node is the longest
-suffix of what was read that the trie holds. Texts are scored many runs at a time.
 
 The base needs the count of each word of a text. Words are numbered within chunks of texts, so what is
 shuffled is one row for each distinct word of a chunk, not one for each word of a text.
@@ -16,14 +15,12 @@ shuffled is one row for each distinct word of a chunk, not one for each word of
 
 from __future__ import annotations
 
-import zlib
-
 from pyspark.sql import DataFrame, functions as F
 
 from .common import documents, pick, slices, stage
 
-#: Bytes of the longest context; contexts kept in the trie.
-ORDER, NODES = 5, 65_536
+#: Bytes of the longest context; bytes at its end by which n-grams are dealt out; shards of them at least.
+ORDER, TAIL, SHARDS = 5, 3, 256
 #: What a byte's count in a context gives to the escape.
 HALF = 0.5
 #: Ends a text and stands before it; this byte is in no UTF-8.
@@ -86,7 +83,7 @@ def merged(found: list):
 
 
 class Trie:
-    """The model: nodes by context, `step` (next node) and `cost` (log10 probability) for each class of byte.
+    """The model of a few texts, in memory: nodes by context, `step` (next node) and `cost` (log10 probability) for each class of byte.
 
     rows: (order, context, byte, count) arrays of all bytes seen after the contexts that are kept.
     """
@@ -157,48 +154,126 @@ def lowered(text: str | None) -> bytes:
     return (text or "").encode().lower()  # of bytes: A to Z alone
 
 
-def count_grams(rows: DataFrame) -> DataFrame:
-    """(key, n) partial counts of the texts in (text)."""
+def pack(raw: bytes) -> bytes:
+    import pyarrow as pa
 
-    def batches(it):
-        import pyarrow as pa
+    return len(raw).to_bytes(8, "little") + pa.Codec("zstd").compress(raw, asbytes=True)
+
+
+def unpack(data: bytes) -> bytes:
+    import pyarrow as pa
+
+    return pa.Codec("zstd").decompress(data[8:], int.from_bytes(data[:8], "little"), asbytes=True)
+
+
+def pack_numbers(numbers) -> bytes:
+    """Of 64-bit numbers: their differences, all first bytes before all second ones."""
+    import numpy as np
+
+    return pack(np.diff(numbers, prepend=0).astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes())
+
+
+def unpack_numbers(data: bytes):
+    import numpy as np
+
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(unpack(data), np.uint8).reshape(8, -1).T).view("<i8").ravel())
+
+
+def turned(keys, back: bool = False):
+    """Keys with the last TAIL bytes of their contexts in front, so that those of a shard lie close together."""
+    tail, rest = 8 * TAIL, 8 * (ORDER - TAIL)
+    if back:
+        return (keys >> 8 & ((1 << rest) - 1)) << 8 + tail | (keys >> 8 + rest) << 8 | keys & 0xFF
+    return (keys >> 8 & ((1 << tail) - 1)) << 8 + rest | (keys >> 8 + tail) << 8 | keys & 0xFF
+
+
+def dealt(keys, counts, shards: int):
+    """(shard, keys, counts), packed: contexts with the same last TAIL bytes are in one shard."""
+    import numpy as np
+
+    keys = turned(keys)
+    order = np.argsort(keys, kind="stable")
+    keys, counts = keys[order], counts[order]
+    own = ((keys >> 8 * (ORDER - TAIL + 1)) * 0x9E3779B1 >> 15 & 0xFFFFFFFF) % shards
+    order = np.argsort(own, kind="stable")
+    keys, counts, own = keys[order], counts[order], own[order]
+    first = np.flatnonzero(np.diff(own, prepend=-1))
+    for a, b in zip(first.tolist(), [*first[1:].tolist(), len(own)]):
+        yield int(own[a]), pack_numbers(keys[a:b]), pack_numbers(counts[a:b])
+
+
+class Level:
+    """Contexts of one length: bytes seen after them (`entries`: context and byte), how often; sums for each context."""
+
+    def __init__(self, keys, counts, order: int, below: Level | None):
+        import numpy as np
+
+        kept = counts > 0
+        self.order = order
+        self.entries, self.n = merged([(keys[kept] & ((1 << 8 * (order + 1)) - 1), counts[kept])])
+        nodes = self.entries >> 8
+        first = np.flatnonzero(np.diff(nodes, prepend=-1))
+        sums = lambda x: np.add.reduceat(x, first) if len(first) else np.zeros(0, np.int64)
+        self.nodes, self.total, self.kinds = nodes[first], sums(self.n), sums(np.ones(len(nodes), np.int64))
+        # how often the shorter context has the bytes that are seen in this one
+        self.shadow = sums(below.count(self.entries)) if below else None
+
+    def count(self, keys):
+        return _found(self.entries, keys & ((1 << 8 * (self.order + 1)) - 1), self.n)
+
+    def of(self, keys, *values):
+        nodes = keys >> 8 & ((1 << 8 * self.order) - 1)
+        return [_found(self.nodes, nodes, v) for v in values]
 
-        held: list = []
-        give = lambda x: pa.RecordBatch.from_arrays([pa.array(x[0]), pa.array(x[1])], names=["key", "n"])
-        for batch in it:
-            for _, texts in slices(batch.column(0), RUN, 1 << 16):
-                held.append(grams([lowered(t) for t in texts]))
-                if sum(len(x[0]) for x in held) > GRAMS:
-                    held = [merged(held)]
-                    if len(held[0][0]) > GRAMS // 2:
-                        yield give(held.pop())
-        if held:
-            yield give(merged(held))
 
-    return rows.mapInArrow(batches, "key bigint, n bigint")
+def _found(table, wanted, values):
+    """The values of what is wanted in a sorted table; zero for what isn't there."""
+    import numpy as np
+
+    if not len(table):
+        return np.zeros(len(wanted), np.int64)
+    at = np.minimum(np.searchsorted(table, wanted), len(table) - 1)
+    return np.where(table[at] == wanted, values[at], 0)
+
+
+def short_levels(keys, counts) -> list[Level]:
+    """The levels of contexts of less than TAIL bytes, from all n-grams with TAIL bytes."""
+    out: list[Level] = []
+    for o in range(TAIL):
+        out.append(Level(keys, counts, o, out[-1] if out else None))
+    return out
 
 
-def train(rows: DataFrame, order: int = ORDER, nodes: int = NODES) -> Trie:
-    """The trie of the texts in (text)."""
+def code_lengths(keys, counts, short: list[Level], order: int = ORDER):
+    """log10 probability of the last byte of each n-gram after the bytes before it.
+
+    keys: distinct n-grams, with all those of the training texts whose contexts have the same last TAIL bytes;
+    counts: how often the training texts have them, zero for those of other texts alone.
+    """
     import numpy as np
 
-    counts = stage(count_grams(rows).groupBy("key").agg(F.sum("n").alias("n")))
-    last = [F.struct(F.lit(o).cast("bigint").alias("o"), F.shiftright("key", 8).bitwiseAND(F.lit((1 << 8 * o) - 1)).alias("c")) for o in range(order + 1)]
-    wide = counts.select("n", F.col("key").bitwiseAND(F.lit(0xFF)).alias("byte"), F.explode(F.array(*last)).alias("x")).select("x.o", "x.c", "byte", "n")
-    after = stage(wide.groupBy("o", "c", "byte").agg(F.sum("n").alias("n")))
-    top = after.groupBy("o", "c").agg(F.sum("n").alias("m")).orderBy(F.desc("m"), "o", "c").limit(nodes).select("o", "c")
-    top = stage(top)
-    kept = after.join(F.broadcast(top), ["o", "c"])  # `nodes` rows at most
-    got = kept.toArrow()  # `nodes` times 256 rows at most
-    return Trie(*(got[c].to_numpy().astype(np.int64) for c in ("o", "c", "byte", "n")))
+    levels = list(short)
+    for o in range(TAIL, order + 1):
+        levels.append(Level(keys, counts, o, levels[-1]))
+    out, open_ = np.zeros(len(keys)), np.ones(len(keys), bool)
+    shadow = kinds_above = np.zeros(len(keys), np.int64)
+    for level in reversed(levels):
+        n = level.count(keys)
+        total, kinds = level.of(keys, level.total, level.kinds)
+        left, escapes = np.maximum(total - shadow, 1), kinds - kinds_above
+        out += np.where(open_ & (n > 0), np.log10(np.maximum(n - HALF, HALF) / left), 0)
+        open_ &= n == 0
+        out += np.where(open_ & (escapes > 0), np.log10(np.maximum(HALF * escapes, HALF) / left), 0)
+        if level.order:
+            (shadow,), kinds_above = level.of(keys, level.shadow), kinds
+    return out - open_ * np.log10(max(1, 256 - len(levels[0].entries)))
 
 
-STAGED = "chunk bigint, doc_id {kind}, held_out boolean, score double, n_words bigint, ids binary, word binary, local int, n bigint"
+FIELDS = "chunk bigint, doc_id array<{kind}>, held_out array<boolean>, n_words array<bigint>, sizes array<bigint>, texts binary, n_ids array<bigint>, ids binary, word binary, local int, n bigint, shard int, keys binary, counts binary"
 
 
-def number_words(rows: DataFrame, trie: Trie) -> DataFrame:
-    """Of (doc_id, held_out, text): a row with score and numbered words for each text, and a row for each word of a chunk."""
-    shared = rows.sparkSession.sparkContext.broadcast(trie)
+def number_words(rows: DataFrame, shards: int) -> DataFrame:
+    """Of (doc_id, held_out, text), in chunks: rows of texts with numbered words; of words; of n-grams for each shard."""
 
     def batches(it):
         import numpy as np
@@ -206,50 +281,114 @@ def number_words(rows: DataFrame, trie: Trie) -> DataFrame:
         from pyspark import TaskContext
 
         task = TaskContext.get().partitionId() << 32
-        names = ["chunk", "doc_id", "held_out", "score", "n_words", "ids", "word", "local", "n"]
+        types = {"chunk": pa.int64(), "doc_id": pa.list_(pa.int64()), "held_out": pa.list_(pa.bool_()), "n_words": pa.list_(pa.int64()), "sizes": pa.list_(pa.int64()), "texts": pa.binary(), "n_ids": pa.list_(pa.int64()), "ids": pa.binary(), "word": pa.binary(), "local": pa.int32(), "n": pa.int64(), "shard": pa.int32(), "keys": pa.binary(), "counts": pa.binary()}
         known: dict[bytes, int] = {}
         learnt = np.zeros(0, np.int64)
+        held: list = []
         chunk = size = 0
 
-        def vocabulary():
+        def made(k, **own):
+            own["chunk"] = pa.array(np.full(k, task + chunk))
+            return pa.RecordBatch.from_arrays([own[c] if c in own else pa.nulls(k, t) for c, t in types.items()], names=list(types))
+
+        one = lambda values: pa.array([values], pa.list_(pa.int64()))
+
+        def gathered():
             words = list(known)
             for at in range(0, len(words), 1 << 16):
                 some = words[at : at + (1 << 16)]
                 k = len(some)
-                full = [pa.array(some, pa.binary()), pa.array(np.arange(at, at + k, dtype=np.int32)), pa.array(learnt[at : at + k])]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(k, task + chunk)), *(pa.nulls(k, t) for t in (doc_type, pa.bool_(), pa.float64(), pa.int64(), pa.binary())), *full], names=names)
+                yield made(k, word=pa.array(some, pa.binary()), local=pa.array(np.arange(at, at + k, dtype=np.int32)), n=pa.array(learnt[at : at + k]))
+            for shard, keys, counts in dealt(*merged(held), shards):
+                yield made(1, shard=pa.array([shard], pa.int32()), keys=pa.array([keys], pa.binary()), counts=pa.array([counts], pa.binary()))
 
-        doc_type = pa.int64()
         for batch in it:
-            doc_type = batch.column(0).type
+            types["doc_id"] = pa.list_(batch.column(0).type)
             for start, texts in slices(batch.column(2), RUN, 1 << 16):
                 raws = [lowered(t) for t in texts]
-                scores = shared.value.score(raws)
-                held = batch.column(1).slice(start, len(texts)).to_pylist()
-                packed, n_words, train_ids = [], [], []
-                for raw, out in zip(raws, held):
+                out = batch.column(1).slice(start, len(texts)).to_pylist()
+                packed, n_words, n_ids, train_ids = [], [], [], []
+                for raw, o in zip(raws, out):
                     words = raw.split()  # of bytes: at the six ASCII blanks alone
                     ids = np.array([known.setdefault(w, len(known)) for w in words], np.uint32)
                     n_words.append(len(words))
-                    if not out:
+                    if not o:
                         train_ids.append(ids)
                     ids, times = np.unique(ids, return_counts=True)
-                    packed.append(zlib.compress(np.concatenate((np.diff(ids, prepend=np.uint32(0)), times.astype(np.uint32))).tobytes(), 1))
+                    n_ids.append(len(ids))
+                    packed.append(np.concatenate((np.diff(ids, prepend=np.uint32(0)), times.astype(np.uint32))))
                 more = np.bincount(np.concatenate(train_ids), minlength=len(known)) if train_ids else np.zeros(len(known), np.int64)
                 more[: len(learnt)] += learnt
                 learnt = more
+                held.append(grams([r for r, o in zip(raws, out) if not o]))
+                keys, counts = grams([r for r, o in zip(raws, out) if o])
+                held.append((keys, counts * 0))
+                if sum(len(x[0]) for x in held) > max(GRAMS, 2 * len(held[0][0])):
+                    held = [merged(held)]
                 k = len(texts)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(k, task + chunk)), batch.column(0).slice(start, k), batch.column(1).slice(start, k), pa.array(scores), pa.array(n_words, pa.int64()), pa.array(packed, pa.binary()), *(pa.nulls(k, t) for t in (pa.binary(), pa.int32(), pa.int64()))],
-                    names=names,
-                )
+                lists = [pa.ListArray.from_arrays(pa.array([0, k], pa.int32()), batch.column(i).slice(start, k)) for i in (0, 1)]
+                yield made(1, doc_id=lists[0], held_out=lists[1], n_words=one(n_words), sizes=one([len(r) for r in raws]), texts=pa.array([pack(b"".join(raws))], pa.binary()), n_ids=one(n_ids), ids=pa.array([pack(np.concatenate(packed).tobytes())], pa.binary()))
                 size += sum(map(len, raws))
-                if size >= CHUNK or len(known) >= WORDS:
-                    yield from vocabulary()
-                    known, learnt, size, chunk = {}, np.zeros(0, np.int64), 0, chunk + 1
-        yield from vocabulary()
+                if size >= CHUNK or len(known) >= WORDS or len(held[0][0]) >= 2 * GRAMS:
+                    yield from gathered()
+                    known, learnt, held, size, chunk = {}, np.zeros(0, np.int64), [], 0, chunk + 1
+        yield from gathered()
+
+    return rows.mapInArrow(batches, FIELDS.format(kind=rows.schema["doc_id"].dataType.simpleString()))
+
+
+def short_grams(packed: DataFrame) -> DataFrame:
+    """(key, n): the last TAIL bytes of the n-grams in (keys, counts), with partial counts."""
+
+    def batches(it):
+        import pyarrow as pa
 
-    return rows.mapInArrow(batches, STAGED.format(kind=rows.schema["doc_id"].dataType.simpleString()))
+        held: list = []
+        for batch in it:
+            for keys, counts in zip(batch.column(0), batch.column(1)):
+                held.append((turned(unpack_numbers(keys.as_py()), True) & ((1 << 8 * TAIL) - 1), unpack_numbers(counts.as_py())))
+                if sum(len(x[0]) for x in held) > max(GRAMS, 2 * len(held[0][0])):
+                    held = [merged(held)]
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in merged(held)], names=["key", "n"])
+
+    return packed.mapInArrow(batches, "key bigint, n bigint")
+
+
+def gram_costs(packed: DataFrame) -> DataFrame:
+    """(chunk, keys, costs) of the n-grams in (chunk, shard, keys, counts), by the counts of all chunks."""
+    got = short_grams(packed.select("keys", "counts")).groupBy("key").agg(F.sum("n").alias("n")).where("n > 0").orderBy("key").toArrow()  # 256 ** TAIL rows at most
+    shared = packed.sparkSession.sparkContext.broadcast(short_levels(got["key"].to_numpy(), got["n"].to_numpy()))
+
+    def shard(table):
+        import numpy as np
+        import pyarrow as pa
+
+        parts = [turned(unpack_numbers(x.as_py()), True) for x in table["keys"]]
+        keys, at = np.unique(np.concatenate(parts), return_inverse=True)
+        counts = np.bincount(at, np.concatenate([unpack_numbers(x.as_py()) for x in table["counts"]]), len(keys)).astype(np.int64)
+        costs = code_lengths(keys, counts, shared.value).astype(np.float32)[at]
+        ends = np.cumsum([len(p) for p in parts])
+        costs = [pack(c.view(np.uint8).reshape(-1, 4).T.tobytes()) for c in np.split(costs, ends[:-1])]
+        return pa.table({"chunk": table["chunk"], "keys": table["keys"], "costs": pa.array(costs, pa.binary())})
+
+    return packed.groupBy("shard").applyInArrow(shard, "chunk bigint, keys binary, costs binary")
+
+
+def scores(texts: list[bytes], keys, costs):
+    """log10 probability of each text and its end; keys and costs: n-grams, with all those of the texts."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    out = np.zeros(len(texts))
+    for a, valid, owner in segments(texts, ORDER):
+        key = np.zeros(len(a) - ORDER, np.int64)
+        for j in range(ORDER + 1):
+            key = key << 8 | a[j : j + len(key)]
+        kept = valid[ORDER:]
+        at = pc.index_in(pa.array(key[kept]), value_set=keys).to_numpy()  # no nulls, as all of them are there
+        out += np.bincount(owner[ORDER:][kept], costs[at], len(texts))
+    return out
 
 
 def score_documents(docs: DataFrame) -> DataFrame:
@@ -261,34 +400,49 @@ def score_documents(docs: DataFrame) -> DataFrame:
     """
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2, F.lit(False))
     rows = pick(docs, "doc_id", "text").select("doc_id", held.alias("held_out"), "text")
-    trie = train(rows.where(~F.col("held_out")).select("text"))
-    numbered = stage(number_words(rows, trie))
-    texts, words = numbered.where("word is null"), numbered.where("word is not null")
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    numbered = stage(number_words(rows, max(SHARDS, size >> 26)))
+    texts, words = numbered.where("texts is not null"), numbered.where("word is not null")
+    costs = gram_costs(numbered.where("shard is not null").select("chunk", "shard", "keys", "counts"))
     counts = stage(words.groupBy("word").agg(F.sum("n").alias("c")))
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.when(F.col("c") > 0, 1))).first()
-    ends = texts.where(~F.col("held_out")).count()
+    ends = texts.agg(F.coalesce(F.sum(F.size(F.filter("held_out", lambda x: ~x))), F.lit(0))).first()[0]
     n, v = n + ends, v + (ends > 0)
     share = float(n + (v + 1))
 
     def base(counted, own):
         import numpy as np
         import pyarrow as pa
+        import pyarrow.compute as pc
 
         c = np.zeros(counted.num_rows, np.int64)
         c[counted["local"].to_numpy()] = counted["c"].to_numpy()
         logs = np.log10((c + 1) / share)
-        sums, known = [], []
-        for packed in own["ids"].to_pylist():
-            ids, times = np.frombuffer(zlib.decompress(packed), np.uint32).reshape(2, -1).astype(np.int64)
-            ids = np.cumsum(ids)
-            sums.append(float((logs[ids] * times).sum()) + np.log10((ends + 1) / share))
-            known.append(int(times[c[ids] > 0].sum()) + (ends > 0))
-        n_tokens = pa.array(own["n_words"].to_numpy() + 1)
-        return pa.table({"doc_id": own["doc_id"], "held_out": own["held_out"], "n_tokens": n_tokens, "n_known": pa.array(known, pa.int64()), "train_tokens": pa.array(np.full(len(n_tokens), n)), "base_score": pa.array(sums, pa.float64()), "score": own["score"]})
+        own_costs = own.filter(pc.is_valid(own["keys"]))
+        keys = pa.array(np.concatenate([np.zeros(0, np.int64), *(turned(unpack_numbers(x.as_py()), True) for x in own_costs["keys"])]))
+        cost = np.concatenate([np.zeros(0, np.float32), *(np.ascontiguousarray(np.frombuffer(unpack(x.as_py()), np.uint8).reshape(4, -1).T).view(np.float32).ravel() for x in own_costs["costs"])])
+        tables = []
+        for row in own.filter(pc.is_valid(own["texts"])).to_batches(1):
+            if not row.num_rows:
+                continue
+            sizes, n_ids = (np.array(row[x][0].as_py(), np.int64) for x in ("sizes", "n_ids"))
+            whole, cuts = unpack(row["texts"][0].as_py()), np.cumsum(sizes).tolist()
+            score = scores([whole[b - n : b] for b, n in zip(cuts, sizes.tolist())], keys, cost)
+            ids = np.frombuffer(unpack(row["ids"][0].as_py()), np.uint32).astype(np.int64)
+            sums, known = [], []
+            for part in np.split(ids, np.cumsum(2 * n_ids)[:-1]):
+                ids, times = part.reshape(2, -1)
+                ids = np.cumsum(ids)
+                sums.append(float((logs[ids] * times).sum()) + np.log10((ends + 1) / share))
+                known.append(int(times[c[ids] > 0].sum()) + (ends > 0))
+            n_tokens = pa.array(row["n_words"][0].values.to_numpy() + 1)
+            tables.append(pa.table({"doc_id": row["doc_id"][0].values, "held_out": row["held_out"][0].values, "n_tokens": n_tokens, "n_known": pa.array(known, pa.int64()), "train_tokens": pa.array(np.full(len(n_tokens), n)), "base_score": pa.array(sums, pa.float64()), "score": pa.array(score)}))
+        return pa.concat_tables(tables)
 
     counted = words.join(counts, "word").select("chunk", "local", "c")
     kind = rows.schema["doc_id"].dataType.simpleString()
-    own = texts.select(F.col("chunk").alias("of"), *(F.col(c).alias(c) for c in ("doc_id", "held_out", "score", "n_words", "ids")))
+    names = ("doc_id", "held_out", "n_words", "sizes", "texts", "n_ids", "ids")
+    own = texts.select(F.col("chunk").alias("of"), *names).unionByName(costs.withColumnRenamed("chunk", "of"), allowMissingColumns=True)
     # a group holds a chunk, which is bounded
     return counted.groupBy("chunk").cogroup(own.groupBy("of")).applyInArrow(base, f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
 

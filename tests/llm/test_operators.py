@@ -131,6 +131,27 @@ def test_scores(spark, odd, empty, texts):
     assert alone.base_score == 0 and alone.train_tokens == 0 and alone.score == pytest.approx(3 * math.log10(1 / 256), rel=1e-5)
 
 
+def test_scores_use_every_context(spark):
+    """More contexts than fit a fixed number of nodes: all of them count."""
+    import numpy as np
+
+    r = random.Random(5)
+    rows = [(i, "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(2000))) for i in range(60)] + [(100, None), (101, "never seen ÄÖ"), (102, "")]
+    rows += [(200 + i, t) for i, (_, t) in enumerate(rows[:3])]
+    train = [lmscore.lowered(t) for d, t in rows if zlib.crc32(str(d).encode()) % 7 != 2]
+    keys, n = lmscore.grams(train)
+    parts = []
+    for o in range(lmscore.ORDER + 1):
+        e, k = lmscore.merged([(keys & ((1 << 8 * (o + 1)) - 1), n)])
+        parts.append((np.full(len(e), o), e >> 8, e & 255, k))
+    code = np.unique(np.concatenate([p[0] << 56 | p[1] for p in parts]))
+    assert len(code) > 65_536
+    counts = list(zip(*(np.concatenate(x).tolist() for x in zip(*parts))))
+    want = dict(zip((d for d, _ in rows), slow_ppm(counts, lmscore.ORDER, [lmscore.lowered(t) for _, t in rows])))
+    got = {x.doc_id: x.score for x in lmscore.score_documents(table(spark, rows).repartition(3)).collect()}
+    assert got == pytest.approx(want, rel=1e-5)
+
+
 # 2
 
 
