@@ -75,8 +75,6 @@ RULES = [
     ("Public-Domain", "publicdomain,"),
 ]
 
-#: A text without any of these holds no known sentence; all others are split.
-HINT = "(?i)licen[cs]e|copyright|warrant|liable|permission|redistribut|public domain|rights reserved|endorse"
 #: Lines that were wrapped within a sentence, and ends of sentences within a line.
 WRAP, END, OTHER = r"([^.;:!?\n])\n([a-z(])", r"([.;!?])[ \t]+", "[^a-z0-9]+"
 
@@ -111,10 +109,7 @@ def scan(docs: DataFrame) -> DataFrame:
     Texts that are null or empty have zeros and empty strings; each row gives a row; other columns are ignored.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    known = F.when(
-        text.rlike(HINT),
-        F.filter(F.transform(F.filter(sentences(text), lambda s: s.rlike("[a-z]{3}")), sentence_id), lambda x: x.isNotNull()),
-    ).otherwise(F.array().cast("array<string>"))
+    known = F.filter(F.transform(F.filter(sentences(text), lambda s: s.rlike("[a-z]{3}")), sentence_id), lambda x: x.isNotNull())
     found = pick(docs, "doc_id", "text").select("doc_id", known.alias("ids"))
     found = found.select("doc_id", F.size("ids").cast("bigint").alias("n_sentences"), F.array_join("ids", ",").alias("sentence_ids"))
     left = F.concat(F.lit("["), F.replace("sentence_ids", F.lit(","), F.lit("][")), F.lit("]"))

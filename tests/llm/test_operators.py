@@ -548,3 +548,23 @@ THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND."""
     got = {r.doc_id: (r.licenses, r.n_left) for r in licenses.scan(table(spark, rows)).collect()}
     assert got == {1: ("MIT", 0), 2: ("MIT,MIT", 0), 3: ("GPL-3.0", 0), 4: ("CC-BY-NC-4.0", 0), 5: ("Apache-2.0", 0), 6: ("", 0), 7: ("", 1)}
     assert licenses.scan(odd).where("n_sentences > 0").count() == 0 and licenses.scan(odd).count() == len(ODD) and licenses.scan(empty).count() == 0
+
+
+#: A text for each pattern of licenses.SENTENCES.
+ALONE = {
+    "apache2": "Licensed under the Apache License, Version 2.0.", "mit": "Available under the MIT License.", "gpl3": "Released under GNU General Public License v3.", "gpl3plus": "Released under the GNU General Public License version 3 or later.",
+    "gpl2": "Provided under the GNU General Public License, version 2.", "lgpl": "Distributed under the GNU Lesser General Public License v2.1.", "agpl3": "Made available under the GNU Affero General Public License v3.", "mpl2": "Available under the terms of the Mozilla Public License 2.0.",
+    "ccbync4": "Released under CC BY-NC 4.0.", "ccbysa4": "Released under CC BY-SA 4.0.", "ccby4": "This work is distributed under Creative Commons Attribution 4.0 International.", "cc0": "Available under CC0 1.0.",
+    "bsd": "Released under a BSD-style license.", "isc": "Released under the ISC license.", "spdx": "SPDX-License-Identifier: 0BSD", "copyright": "(C) Copyright A. Person", "rights": "All rights\nreserved.",
+    "mitgrant": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software).", "mitnotice": "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+    "asis": "The software is provided as is, without warranty.", "liable": "In no event shall they be liable for any claim.", "bsdgrant": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+    "bsdsource": "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.", "bsdbinary": "Redistributions in binary form must reproduce the above copyright notice here.",
+    "bsdname": "Neither the name of it nor they may be used to endorse or promote products here.", "iscgrant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that.",
+    "apachelimit": "You may not use this file except in compliance with the License.", "apachecopy": "You may obtain a copy of the License at here.", "publicdomain": "This work is in the public domain.",
+}
+
+
+def test_each_sentence_is_known_alone(spark):
+    assert list(ALONE) == [name for name, _ in licenses.SENTENCES]
+    got = {r.doc_id: r.sentence_ids for r in licenses.scan(table(spark, list(enumerate(ALONE.values())))).collect()}
+    assert [got[i].split(",")[0] for i in range(len(ALONE))] == list(ALONE)
