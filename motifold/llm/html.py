@@ -19,7 +19,7 @@ from .common import pick, slices
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style xmp iframe noembed noframes".split())
 PLAIN = frozenset("textarea title".split())
-HIDDEN = frozenset("head script style template noscript title meta link base datalist iframe noembed noframes object audio video canvas svg math rp textarea select".split())
+HIDDEN = frozenset("head script style template noscript title meta link base datalist iframe noembed noframes object audio video canvas rp annotation annotation-xml defs desc metadata".split())
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table caption tbody td tfoot th thead tr ul".split()
 )
@@ -42,11 +42,12 @@ BLANKS = re.compile(r"[ \t\n\r\f]+")
 
 
 class Node:
-    __slots__ = ("attributes", "children", "tabled", "tag")
+    __slots__ = ("attributes", "children", "foreign", "tabled", "tag")
 
     def __init__(self, tag: str, attributes: dict[str, str] | None = None, tabled: bool = False):
         self.tag, self.attributes, self.children = tag, attributes or {}, []
         self.tabled = tabled or tag == "table"  # whether it is in a table, or is one
+        self.foreign = tag in ("svg", "math")  # whether a slash can end its start tag and those within
 
 
 def parse(html: str) -> Node:
@@ -73,7 +74,10 @@ def parse(html: str) -> Node:
             continue
         _start(stack, tag)
         node = Node(tag, attributes, stack[-1].tabled)
+        node.foreign |= stack[-1].foreign and stack[-1].tag != "foreignobject"
         stack[-1].children.append(node)
+        if node.foreign and m[3].endswith("/"):
+            continue
         if tag in RAW or tag in PLAIN:
             end = re.compile(f"</{re.escape(tag)}(?=[\\s/>])[^>]*>|\\Z", re.I).search(html, at)
             if tag in PLAIN:
@@ -310,6 +314,19 @@ def render(root: Node) -> str:
                 page.space()
 
             done.append(close)
+        elif tag == "textarea":
+            page.line()
+            kept += 1
+
+            def close():
+                nonlocal kept
+                kept -= 1
+                page.line()
+
+            done.append(close)
+        elif tag == "text":  # of an image
+            page.line()
+            done.append(lambda: page.line())
         elif tag == "q":
             page.text('"')
             done.append(lambda: page.text('"'))
@@ -322,7 +339,11 @@ def render(root: Node) -> str:
         children = x.children
         if tag == "details" and "open" not in x.attributes:
             children = [c for c in children if isinstance(c, Node) and c.tag == "summary"][:1]
-        if tag == "pre" and children and isinstance(children[0], str) and children[0].startswith("\n"):
+        if tag in ("option", "optgroup") and x.attributes.get("label"):
+            page.text(x.attributes["label"])
+            page.line()
+            children = [] if tag == "option" else children
+        if tag in ("pre", "textarea") and children and isinstance(children[0], str) and children[0].startswith("\n"):
             children = [children[0][1:], *children[1:]]
         work.extend(done)
         work.extend(reversed(children))

@@ -518,6 +518,19 @@ def test_layout(page, text):
     assert html.extract(page) == text
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("a <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>no</annotation></math> b", "a x=1 b"),
+        ("<svg><title>no</title><desc>no</desc><metadata>no</metadata><defs/><defs><text>no</text></defs><path d='M'/><text>One</text><text>Two</text></svg>c", "One\nTwo\nc"),
+        ("<form><textarea>\nfirst &amp;\n  second</textarea></form>c", "first &\n  second\nc"), ("<select><option>One<option selected>Two</select>c", "One\nTwo\nc"),
+        ("<select><optgroup label=Group><option label=Shown>not<option>Two</select>", "Group\nShown\nTwo"), ("<math/>a<svg/>b", "ab"), ("<svg hidden><text>no</text></svg>a", "a"),
+    ],
+)
+def test_formulas_images_and_forms(page, text):
+    assert html.extract(page) == text
+
+
 def test_page_tables(spark):
     deep = "<div>" * 30_000 + "x" + "<p>" * 2000
     rows = [(1, "<p>a"), (1, "<p>a"), (2, None), (3, ""), (None, "n"), (4, deep), (5, "<" * 20_000), (6, '<a b="' * 3000), (7, "<td>" * 3000)]
