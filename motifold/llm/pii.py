@@ -34,9 +34,9 @@ NEEDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[ -]?[0-9]){11}"
 BYTE = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 #: (kind, what a text needs, pattern) of the generators.
 GENERATORS = [
-    ("secret", "(?i:pass|pwd|secret|token|key)", r"""(?i:passw(?:or)?d|pwd|secret|token|api[_-]?key|access[_-]?key|auth)[ \t]*[=:][ \t]*["']?[A-Za-z0-9+/_.-]{4,200}["']?"""),
-    ("secret", "[0-9]", r"(?<![A-Za-z0-9])[A-Z0-9]{16,64}(?![A-Za-z0-9])"),
-    ("secret", "[0-9]", r"(?<![A-Za-z0-9])[a-f0-9]{32,128}(?![A-Za-z0-9])"),
+    ("secret", "(?i:pass|pwd|secret|token|key|auth)", r"""(?i:passw(?:or)?d|pwd|secret|token|api[_-]?key|access[_-]?key|auth)[ \t]*[=:][ \t]*["']?[A-Za-z0-9+/_.-]{4,}+["']?"""),
+    ("secret", "[0-9]", r"(?<![A-Za-z0-9])[A-Z0-9]{16,}+(?![A-Za-z0-9])"),
+    ("secret", "[0-9]", r"(?<![A-Za-z0-9])[a-f0-9]{32,}+(?![A-Za-z0-9])"),
     ("phone", "[0-9]{3}", r"(?<![0-9+])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])"),
     # next to other digits, the base pattern takes both for one number, which then fails
     ("card", NEEDS["card"], r"(?<![0-9])(?:(?:[0-9]{4}[ -]?){3}[0-9]{4}|3[47][0-9]{2}[ -]?[0-9]{6}[ -]?[0-9]{5})(?![0-9])"),
