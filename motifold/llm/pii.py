@@ -307,7 +307,7 @@ def find(df: DataFrame, text: str, model: Model, out: str) -> DataFrame:
     span = lambda k: lambda x: F.struct(x["s"].alias("s"), F.lit(k).alias("k"), x["e"].alias("e"))
     base = F.concat(*(F.transform(F.filter(names[k], _check(k)), span(KINDS.index(k))) for k in BASE))
     df = df.withColumn(f"{out}_base", F.array_sort(base))
-    free = lambda c: ~F.exists(f"{out}_base", lambda b: (b["s"] < c["e"]) & (c["s"] < b["e"]))
+    free = lambda c: ~F.exists(f"{out}_base", lambda b: (b["s"] <= c["s"]) & (c["e"] <= b["e"]))
     more = F.filter(f"{out}_c", lambda c: model.chosen(c["k"], c["f"]) & free(c))
     more = F.array_sort(F.transform(more, lambda c: F.struct(c["s"].alias("s"), c["k"].alias("k"), c["e"].alias("e"))))
     df = df.withColumn(f"{out}_more", more)
@@ -330,7 +330,7 @@ def personal_data(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans (base ones and the method's).
 
     A null text counts as an empty one and has no spans. Each row gives a row; other columns are ignored.
-    Of equal starts, spans come in the order of KINDS. The method adds no span that overlaps a base one.
+    Of equal starts, spans come in the order of KINDS. The method adds no span that lies within a base one; others can overlap it.
     """
     rows = pick(docs, "doc_id", "text").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     found = find(rows, "text", model or train(docs.sparkSession), "x")

@@ -308,6 +308,14 @@ def test_long_secrets_are_whole(spark):
     assert got[0] == got[1] == "so [SECRET] end"
 
 
+def test_cards_within_secrets_do_not_uncover_them(spark):
+    text = 'so token = "0641917ea4e9feb9cda4111111111111111a5fc2" end'
+    df = table(spark, [(0, text)])
+    row = pii.personal_data(df).first()
+    assert row.n_card == 1 and row.spans == "secret:3:53,card:31:47"
+    assert pii.redact(df).first().text == "so [SECRET] end"
+
+
 def test_redaction(spark, odd):
     got = {r.doc_id: r.text for r in pii.redact(odd).collect()}
     assert got[9] == "[EMAIL] [IP] or [CARD] [PHONE]" and got[2] is None and got[3] == ""
