@@ -423,17 +423,79 @@ def test_leaks(spark, odd, empty):
 
 
 def test_search_finds_all_above_the_threshold():
+    """Pivots and blocks let through each (passage, item) whose score by the definition of BM25 is high enough."""
+    import numpy as np
+
     t = pq.read_table(f"{DATA}/benchmark.parquet").to_pydict()
     index = decontaminate.Index(list(zip(t["item_id"], t["text"])))
+    bags = [decontaminate.words_of(x) for _, x in index.items]
+    held, mean = Counter(w for b in bags for w in set(b)), sum(map(len, bags)) / len(bags)
+    impact = []
+    for b in bags:
+        own = {w: math.log(1 + (len(bags) - held[w] + 0.5) / (held[w] + 0.5)) * c * 2.2 / (c + 1.2 * (0.25 + 0.75 * len(b) / mean)) for w, c in Counter(b).items()}
+        impact.append({w: x / sum(own.values()) for w, x in own.items()})
     r = random.Random(1)
-    for _ in range(200):
-        terms = set(r.sample(range(len(index.term)), r.randint(1, 120)))
-        sums = Counter()
-        for q in terms:
-            for i, x in index.lists[q]:
-                sums[i] += x
-        for least in (0.1, 0.3, 0.5):
-            assert sorted(i for i, _ in index.search(terms, least)) == sorted(i for i, x in sums.items() if x >= least - 1e-9)
+    every = sorted(index.term)
+    for _ in range(60):
+        words = [r.choice(every if r.random() < 0.3 else bags[r.randrange(4)]) for _ in range(r.choice([5, 40, 64, 300]))]
+        terms = np.array([index.term[w] for w in words])
+        run, place, item = index.pivots(terms, np.array([0]))
+        begin = place * index.step[item]
+        passages = [np.unique(terms[b : b + 2 * s]) for b, s in zip(begin, index.step[item])]
+        score = index.search(passages, np.arange(len(item)), item)
+        got = {(b, i): x for b, i, x in zip(begin.tolist(), item.tolist(), score.tolist()) if x}
+        want = {}
+        for i, own in enumerate(impact):
+            s = int(index.step[i])
+            for b in range(0, max(1, -(-len(words) // s) - 1) * s, s):
+                x = sum(v for w, v in own.items() if w in words[b : b + 2 * s])
+                if x >= 0.5:
+                    want[b, i] = x
+        assert not run.any() and got == pytest.approx(want)
+
+
+def zipf_items(n):
+    import numpy as np
+
+    r, p = np.random.default_rng(1), 1 / np.arange(1, 30_001)
+    draw = lambda k: [f"w{x}" for x in r.choice(30_000, k, p=p / p.sum())]
+    return [(i, " ".join(draw(60))) for i in range(n)], draw(10_000)
+
+
+@pytest.mark.parametrize("n", [400, 4000, 40_000])
+def test_many_items(n):
+    """Brute force over all items; the time for 10,000 words hardly grows with their number, and 11 MB of items take under 200 MB."""
+    import pickle
+    import time
+
+    items, doc = zipf_items(n)
+    for k in range(6):
+        doc[1500 * k : 1500 * k + 60] = items[k * n // 7][1].split()
+    index = decontaminate.Index(items)
+    assert len(pickle.dumps(index)) < 120 << 20
+    index.matches([" ".join(doc[:300])])
+    began = time.perf_counter()
+    (got,) = index.matches([" ".join(doc)])
+    assert time.perf_counter() - began < 2
+    whole = decontaminate.shingles([w.encode() for w in doc])
+    want = {i for i, t in items if sum(g in whole for g in decontaminate.shingles(t.encode().split())) >= 45}
+    assert {index.items[k][0] for k in got} == want == {k * n // 7 for k in range(6)}
+
+
+def test_items_in_several_indexes_score_alike(spark, monkeypatch):
+    items, doc = zipf_items(300)
+    items.append((900, " ".join(f"long{i}" for i in range(500))))
+    docs = table(spark, [(1, " ".join(doc[:500]) + " " + items[3][1]), (2, items[900 - 600][1] + " " + items[9][1]), (3, None)])
+    bench = spark.createDataFrame([(i, t) for i, t in items], "item_id int, text string")
+    one = rows_of(decontaminate.leaks(docs, bench))
+    monkeypatch.setattr(decontaminate, "SHARD", 10_000)
+    assert rows_of(decontaminate.leaks(docs, bench)) == one and [(r[0], r[1]) for r in one] == [(1, 3), (2, 9), (2, 900)]
+    assert [r.doc_id for r in decontaminate.drop_leaks(docs, bench).collect()] == [3]
+
+
+def test_a_long_item_leaves_other_passages_short():
+    index = decontaminate.Index([(1, "one two three four five six seven eight nine ten"), (2, " ".join(f"w{i}" for i in range(20_000)))])
+    assert index.step.tolist() == [32, 32_768]
 
 
 def test_leaks_match_brute_force(texts):
