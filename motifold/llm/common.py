@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Texts handed to Python code at a time hold about this many characters.
 SLICE_CHARS = 1 << 20
+#: Bytes of a row group of staged tables.
+ROW_GROUP = 16 << 20
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,7 +55,8 @@ def stage(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/motifold-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    # rows can be large: small row groups, whose size is looked at often, keep writers and readers small
+    df.write.options(**{"compression": "zstd", "parquet.block.size": str(ROW_GROUP), "parquet.block.size.row.check.min": "8", "parquet.page.size.row.check.min": "8"}).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

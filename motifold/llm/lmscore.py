@@ -9,8 +9,9 @@ in one place.
 
 Escapes are estimated by method D (of each byte's count, half a one goes to the escape), and bytes seen in a longer context are excluded from the shorter one.
 
-The base needs the count of each word of a text. Words are numbered within chunks of texts, so what is
-shuffled is one row for each distinct word of a chunk, not one for each word of a text.
+The base needs the count of each word of a text. Words are numbered within chunks of texts, and the distinct
+ones of a chunk are packed and dealt out by a hash, as n-grams are, so what is shuffled is one row for each chunk
+and shard. A shard sums the counts and sends each chunk those of its words.
 """
 
 from __future__ import annotations
@@ -269,11 +270,29 @@ def code_lengths(keys, counts, short: list[Level], order: int = ORDER):
     return out - open_ * np.log10(max(1, 256 - len(levels[0].entries)))
 
 
-FIELDS = "chunk bigint, doc_id array<{kind}>, held_out array<boolean>, n_words array<bigint>, sizes array<bigint>, texts binary, n_ids array<bigint>, ids binary, word binary, local int, n bigint, shard int, keys binary, counts binary"
+FIELDS = "chunk bigint, doc_id array<{kind}>, held_out array<boolean>, n_words array<bigint>, sizes array<bigint>, texts binary, n_ids array<bigint>, ids binary, shard int, words binary, places binary, keys binary, counts binary"
 
+#: The columns of a row of texts.
+TEXTS = ("doc_id", "held_out", "n_words", "sizes", "texts", "n_ids", "ids")
 
-def number_words(rows: DataFrame, shards: int) -> DataFrame:
-    """Of (doc_id, held_out, text), in chunks: rows of texts with numbered words; of words; of n-grams for each shard."""
+
+def dealt_words(words: list[bytes], counts, shards: int):
+    """(shard, words, their places, counts), packed."""
+    from zlib import crc32
+
+    import numpy as np
+
+    own = np.fromiter(map(crc32, words), np.int64, len(words)) % shards
+    order = np.argsort(own, kind="stable")
+    own = own[order]
+    first = np.flatnonzero(np.diff(own, prepend=-1))
+    for a, b in zip(first.tolist(), [*first[1:].tolist(), len(own)]):
+        at = order[a:b]
+        yield int(own[a]), pack(b" ".join([words[i] for i in at.tolist()])), pack_numbers(at), pack_numbers(counts[at])
+
+
+def chunks(rows: DataFrame, shards: int) -> DataFrame:
+    """Of (doc_id, held_out, text), in chunks: rows of texts with numbered words; for each shard, rows of words and of n-grams."""
 
     def batches(it):
         import numpy as np
@@ -281,26 +300,22 @@ def number_words(rows: DataFrame, shards: int) -> DataFrame:
         from pyspark import TaskContext
 
         task = TaskContext.get().partitionId() << 32
-        types = {"chunk": pa.int64(), "doc_id": pa.list_(pa.int64()), "held_out": pa.list_(pa.bool_()), "n_words": pa.list_(pa.int64()), "sizes": pa.list_(pa.int64()), "texts": pa.binary(), "n_ids": pa.list_(pa.int64()), "ids": pa.binary(), "word": pa.binary(), "local": pa.int32(), "n": pa.int64(), "shard": pa.int32(), "keys": pa.binary(), "counts": pa.binary()}
+        longs = pa.list_(pa.int64())
+        types = {"chunk": pa.int64(), "doc_id": longs, "held_out": pa.list_(pa.bool_()), "n_words": longs, "sizes": longs, "texts": pa.binary(), "n_ids": longs, "ids": pa.binary(), "shard": pa.int32(), "words": pa.binary(), "places": pa.binary(), "keys": pa.binary(), "counts": pa.binary()}
         known: dict[bytes, int] = {}
         learnt = np.zeros(0, np.int64)
         held: list = []
         chunk = size = 0
 
-        def made(k, **own):
-            own["chunk"] = pa.array(np.full(k, task + chunk))
-            return pa.RecordBatch.from_arrays([own[c] if c in own else pa.nulls(k, t) for c, t in types.items()], names=list(types))
-
-        one = lambda values: pa.array([values], pa.list_(pa.int64()))
+        def made(**own):
+            own["chunk"] = task + chunk
+            return pa.RecordBatch.from_arrays([own[c] if isinstance(own.get(c), pa.Array) else pa.array([own.get(c)], t) for c, t in types.items()], names=list(types))
 
         def gathered():
-            words = list(known)
-            for at in range(0, len(words), 1 << 16):
-                some = words[at : at + (1 << 16)]
-                k = len(some)
-                yield made(k, word=pa.array(some, pa.binary()), local=pa.array(np.arange(at, at + k, dtype=np.int32)), n=pa.array(learnt[at : at + k]))
+            for shard, words, places, counts in dealt_words(list(known), learnt, shards):
+                yield made(shard=shard, words=words, places=places, counts=counts)
             for shard, keys, counts in dealt(*merged(held), shards):
-                yield made(1, shard=pa.array([shard], pa.int32()), keys=pa.array([keys], pa.binary()), counts=pa.array([counts], pa.binary()))
+                yield made(shard=shard, keys=keys, counts=counts)
 
         for batch in it:
             types["doc_id"] = pa.list_(batch.column(0).type)
@@ -325,9 +340,8 @@ def number_words(rows: DataFrame, shards: int) -> DataFrame:
                 held.append((keys, counts * 0))
                 if sum(len(x[0]) for x in held) > max(GRAMS, 2 * len(held[0][0])):
                     held = [merged(held)]
-                k = len(texts)
-                lists = [pa.ListArray.from_arrays(pa.array([0, k], pa.int32()), batch.column(i).slice(start, k)) for i in (0, 1)]
-                yield made(1, doc_id=lists[0], held_out=lists[1], n_words=one(n_words), sizes=one([len(r) for r in raws]), texts=pa.array([pack(b"".join(raws))], pa.binary()), n_ids=one(n_ids), ids=pa.array([pack(np.concatenate(packed).tobytes())], pa.binary()))
+                lists = [pa.ListArray.from_arrays(pa.array([0, len(texts)], pa.int32()), batch.column(i).slice(start, len(texts))) for i in (0, 1)]
+                yield made(doc_id=lists[0], held_out=lists[1], n_words=n_words, sizes=[len(r) for r in raws], texts=pack(b"".join(raws)), n_ids=n_ids, ids=pack(np.concatenate(packed).tobytes()))
                 size += sum(map(len, raws))
                 if size >= CHUNK or len(known) >= WORDS or len(held[0][0]) >= 2 * GRAMS:
                     yield from gathered()
@@ -337,6 +351,28 @@ def number_words(rows: DataFrame, shards: int) -> DataFrame:
     return rows.mapInArrow(batches, FIELDS.format(kind=rows.schema["doc_id"].dataType.simpleString()))
 
 
+def count_words(packed: DataFrame) -> DataFrame:
+    """(chunk, places, c) of the words in (chunk, shard, words, places, counts), by the counts of all chunks.
+
+    n, v: on one row of a shard, how often its words occur in the training texts, and how many of them do.
+    """
+
+    def shard(table):
+        import numpy as np
+        import pyarrow as pa
+
+        parts = [unpack(x.as_py()).split(b" ") for x in table["words"]]
+        ends = np.cumsum([len(p) for p in parts])
+        at = pa.array([w for p in parts for w in p], pa.binary()).dictionary_encode().indices.to_numpy()
+        del parts
+        sums = np.bincount(at, np.concatenate([unpack_numbers(x.as_py()) for x in table["counts"]])).astype(np.int64)
+        c = [pack_numbers(x) for x in np.split(sums[at], ends[:-1])]
+        one = lambda x: pa.array([int(x), *[0] * (len(ends) - 1)], pa.int64())
+        return pa.table({"chunk": table["chunk"], "places": table["places"], "c": pa.array(c, pa.binary()), "n": one(sums.sum()), "v": one((sums > 0).sum())})
+
+    return packed.groupBy("shard").applyInArrow(shard, "chunk bigint, places binary, c binary, n bigint, v bigint")
+
+
 def short_grams(packed: DataFrame) -> DataFrame:
     """(key, n): the last TAIL bytes of the n-grams in (keys, counts), with partial counts."""
 
@@ -375,10 +411,8 @@ def gram_costs(packed: DataFrame) -> DataFrame:
 
 
 def scores(texts: list[bytes], keys, costs):
-    """log10 probability of each text and its end; keys and costs: n-grams, with all those of the texts."""
+    """log10 probability of each text and its end; keys (in order) and costs: n-grams, with all those of the texts."""
     import numpy as np
-    import pyarrow as pa
-    import pyarrow.compute as pc
 
     out = np.zeros(len(texts))
     for a, valid, owner in segments(texts, ORDER):
@@ -386,8 +420,8 @@ def scores(texts: list[bytes], keys, costs):
         for j in range(ORDER + 1):
             key = key << 8 | a[j : j + len(key)]
         kept = valid[ORDER:]
-        at = pc.index_in(pa.array(key[kept]), value_set=keys).to_numpy()  # no nulls, as all of them are there
-        out += np.bincount(owner[ORDER:][kept], costs[at], len(texts))
+        key, at = np.unique(key[kept], return_inverse=True)
+        out += np.bincount(owner[ORDER:][kept], costs[np.searchsorted(keys, key)][at], len(texts))
     return out
 
 
@@ -401,28 +435,33 @@ def score_documents(docs: DataFrame) -> DataFrame:
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2, F.lit(False))
     rows = pick(docs, "doc_id", "text").select("doc_id", held.alias("held_out"), "text")
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    numbered = stage(number_words(rows, max(SHARDS, size >> 26)))
-    texts, words = numbered.where("texts is not null"), numbered.where("word is not null")
-    costs = gram_costs(numbered.where("shard is not null").select("chunk", "shard", "keys", "counts"))
-    counts = stage(words.groupBy("word").agg(F.sum("n").alias("c")))
-    n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.when(F.col("c") > 0, 1))).first()
+    packed = stage(chunks(rows, max(SHARDS, size >> 25)))
+    texts = packed.where("texts is not null")
+    costs = gram_costs(packed.where("keys is not null").select("chunk", "shard", "keys", "counts"))
+    words = stage(count_words(packed.where("words is not null").select("chunk", "shard", "words", "places", "counts")))
+    n, v = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
     ends = texts.agg(F.coalesce(F.sum(F.size(F.filter("held_out", lambda x: ~x))), F.lit(0))).first()[0]
     n, v = n + ends, v + (ends > 0)
     share = float(n + (v + 1))
 
-    def base(counted, own):
+    def chunk(own):
         import numpy as np
         import pyarrow as pa
         import pyarrow.compute as pc
 
-        c = np.zeros(counted.num_rows, np.int64)
-        c[counted["local"].to_numpy()] = counted["c"].to_numpy()
+        joined = lambda parts, kind: np.concatenate([np.zeros(0, kind), *parts])
+        some = lambda name: own.filter(pc.is_valid(own[name]))
+        counted, found = some("c"), some("costs")
+        places = joined((unpack_numbers(x.as_py()) for x in counted["places"]), np.int64)
+        c = np.zeros(len(places), np.int64)
+        c[places] = joined((unpack_numbers(x.as_py()) for x in counted["c"]), np.int64)
         logs = np.log10((c + 1) / share)
-        own_costs = own.filter(pc.is_valid(own["keys"]))
-        keys = pa.array(np.concatenate([np.zeros(0, np.int64), *(turned(unpack_numbers(x.as_py()), True) for x in own_costs["keys"])]))
-        cost = np.concatenate([np.zeros(0, np.float32), *(np.ascontiguousarray(np.frombuffer(unpack(x.as_py()), np.uint8).reshape(4, -1).T).view(np.float32).ravel() for x in own_costs["costs"])])
+        keys = joined((turned(unpack_numbers(x.as_py()), True) for x in found["keys"]), np.int64)
+        cost = joined((np.ascontiguousarray(np.frombuffer(unpack(x.as_py()), np.uint8).reshape(4, -1).T).view(np.float32).ravel() for x in found["costs"]), np.float32)
+        order = np.argsort(keys)
+        keys, cost = keys[order], cost[order]
         tables = []
-        for row in own.filter(pc.is_valid(own["texts"])).to_batches(1):
+        for row in some("texts").select(list(TEXTS)).to_batches(1):
             if not row.num_rows:
                 continue
             sizes, n_ids = (np.array(row[x][0].as_py(), np.int64) for x in ("sizes", "n_ids"))
@@ -439,12 +478,9 @@ def score_documents(docs: DataFrame) -> DataFrame:
             tables.append(pa.table({"doc_id": row["doc_id"][0].values, "held_out": row["held_out"][0].values, "n_tokens": n_tokens, "n_known": pa.array(known, pa.int64()), "train_tokens": pa.array(np.full(len(n_tokens), n)), "base_score": pa.array(sums, pa.float64()), "score": pa.array(score)}))
         return pa.concat_tables(tables)
 
-    counted = words.join(counts, "word").select("chunk", "local", "c")
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    names = ("doc_id", "held_out", "n_words", "sizes", "texts", "n_ids", "ids")
-    own = texts.select(F.col("chunk").alias("of"), *names).unionByName(costs.withColumnRenamed("chunk", "of"), allowMissingColumns=True)
+    own = texts.select("chunk", *TEXTS).unionByName(costs, allowMissingColumns=True).unionByName(words.drop("n", "v"), allowMissingColumns=True)
     # a group holds a chunk, which is bounded
-    return counted.groupBy("chunk").cogroup(own.groupBy("of")).applyInArrow(base, f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
+    return own.groupBy("chunk").applyInArrow(chunk, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
 
 
 def op1_lmscore(spark, sf_dir: str) -> DataFrame:
