@@ -8,6 +8,8 @@ import zlib
 from collections import Counter
 from html.parser import HTMLParser
 
+import duckdb
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 import tiktoken
@@ -644,21 +646,114 @@ THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND."""
     assert licenses.scan(odd).where("n_sentences > 0").count() == 0 and licenses.scan(odd).count() == len(ODD) and licenses.scan(empty).count() == 0
 
 
-#: A text for each pattern of licenses.SENTENCES.
-ALONE = {
-    "apache2": "Licensed under the Apache License, Version 2.0.", "mit": "Available under the MIT License.", "gpl3": "Released under GNU General Public License v3.", "gpl3plus": "Released under the GNU General Public License version 3 or later.",
-    "gpl2": "Provided under the GNU General Public License, version 2.", "lgpl": "Distributed under the GNU Lesser General Public License v2.1.", "agpl3": "Made available under the GNU Affero General Public License v3.", "mpl2": "Available under the terms of the Mozilla Public License 2.0.",
-    "ccbync4": "Released under CC BY-NC 4.0.", "ccbysa4": "Released under CC BY-SA 4.0.", "ccby4": "This work is distributed under Creative Commons Attribution 4.0 International.", "cc0": "Available under CC0 1.0.",
-    "bsd": "Released under a BSD-style license.", "isc": "Released under the ISC license.", "spdx": "SPDX-License-Identifier: 0BSD", "copyright": "(C) Copyright A. Person", "rights": "All rights\nreserved.",
-    "mitgrant": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software).", "mitnotice": "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
-    "asis": "The software is provided as is, without warranty.", "liable": "In no event shall they be liable for any claim.", "bsdgrant": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
-    "bsdsource": "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.", "bsdbinary": "Redistributions in binary form must reproduce the above copyright notice here.",
-    "bsdname": "Neither the name of it nor they may be used to endorse or promote products here.", "iscgrant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that.",
-    "apachelimit": "You may not use this file except in compliance with the License.", "apachecopy": "You may obtain a copy of the License at here.", "publicdomain": "This work is in the public domain.",
-}
-
-
-def test_each_sentence_is_known_alone(spark):
-    assert list(ALONE) == [name for name, _ in licenses.SENTENCES]
-    got = {r.doc_id: r.sentence_ids for r in licenses.scan(table(spark, list(enumerate(ALONE.values())))).collect()}
-    assert [got[i].split(",")[0] for i in range(len(ALONE))] == list(ALONE)
+BSD_CLAUSES = """1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+BSD_END = """
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE
+FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL
+DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR
+SERVICES; LOSS OF USE, DATA, OR PROFITS).
+"""
+BSD_START = """Copyright (c) 2020, A Person
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+"""
+GNU = """This program is free software%s you can redistribute it and/or modify
+it under the terms of the GNU %sGeneral Public License as published by
+the Free Software Foundation%s either version %s of the License, or
+(at your option) any later version.
+"""
+#: Notices as files have them.
+NOTICES = [
+    ("BSD-2-Clause", BSD_START + BSD_CLAUSES + BSD_END),
+    ("BSD-3-Clause", BSD_START + BSD_CLAUSES + """3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+""" + BSD_END),
+    ("MIT", """MIT License
+
+Copyright (c) 2020 A Person
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.
+"""),
+    ("Apache-2.0", """Copyright 2020 A Person
+
+Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS.
+"""),
+    ("Apache-2.0", "                                 Apache License\n                           Version 2.0, January 2004\n                        http://www.apache.org/licenses/\n\n   TERMS AND CONDITIONS\n"),
+    ("GPL-3.0-or-later", GNU % (":", "", ",", "3")), ("GPL-2.0-or-later", GNU % (";", "", ";", "2")), ("LGPL-2.1-or-later", GNU % (";", "Lesser ", ";", "2.1")), ("AGPL-3.0-or-later", GNU % (":", "Affero ", ",", "3")),
+    ("GPL-3.0", "                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Copyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/>\n Everyone is permitted to copy and distribute verbatim copies\n of this license document, but changing it is not allowed.\n\n                            Preamble\n"),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one at https://mozilla.org/MPL/2.0/.\n"),
+    ("Zlib", "This software is provided 'as-is', without any express or implied\nwarranty. In no event will the authors be held liable.\n\nPermission is granted to anyone to use this software for any purpose,\nincluding commercial applications, and to alter it and redistribute it\nfreely, subject to the following restrictions:\n"),
+    ("Unlicense", "This is free and unencumbered software released into the public domain.\n"),
+]
+#: Sentences, and what they say.
+ALONE = [
+    ("Licensed under the Apache License, Version 2.0.", "Apache-2.0"), ("Available under the MIT License.", "MIT"), ("Released under GNU General Public License v3.", "GPL-3.0"), ("Released under the GNU General Public License version 3 or later.", "GPL-3.0-or-later"),
+    ("License: GPLv2+", "GPL-2.0-or-later"), ("This program is licensed under GPL-2.0 or later.", "GPL-2.0-or-later"), ("Provided under the GNU General Public License, version 2.", "GPL-2.0"), ("Distributed under the GNU Lesser General Public License v2.1.", "LGPL-2.1"),
+    ("Licensed under the LGPL 3.0 or any later version", "LGPL-3.0-or-later"), ("Made available under the GNU Affero General Public License v3.", "AGPL-3.0"), ("Released under the AGPL v3 or later", "AGPL-3.0-or-later"), ("Available under the terms of the Mozilla Public License 2.0.", "MPL-2.0"),
+    ("Released under CC BY-NC 4.0.", "CC-BY-NC-4.0"), ("Released under CC BY-SA 4.0.", "CC-BY-SA-4.0"), ("This work is distributed under Creative Commons Attribution 4.0 International.", "CC-BY-4.0"), ("Available under CC0 1.0.", "CC0-1.0"), ("This work is released under CC0 1.0.", "CC0-1.0"),
+    ("Released under a BSD-style license.", "BSD"), ("Released under the 3-clause BSD license.", "BSD-3-Clause"), ("Released under the ISC license.", "ISC"), ("Licensed under the Boost Software License 1.0", "BSL-1.0"), ("Released under the zlib license", "Zlib"),
+    ("Licensed under the Eclipse Public License 2.0", "EPL-2.0"), ("Licensed under the Artistic License 2.0", "Artistic-2.0"), ("Released under the Unlicense", "Unlicense"), ("This work is in the public  domain.", "Public-Domain"), ("This file has been placed in the public domain", "Public-Domain"),
+    ("// SPDX-License-Identifier: 0BSD", "0BSD"), ("/* SPDX-License-Identifier: GPL-2.0-or-later WITH Classpath-exception-2.0 */", "GPL-2.0-or-later"), ("# SPDX-License-Identifier: (MIT OR Apache-2.0) AND CC0-1.0", "MIT,Apache-2.0,CC0-1.0"), ("SPDX-License-Identifier: LicenseRef-own", ""),
+    ("MIT License", "MIT"), ("mit", ""), ("Ein Wort mit.", ""), ("All rights\nreserved.", ""), ("The license of poets, no warranty.", ""), ("You may not use this file except in compliance with the License.", ""), ("Licensed under the\r\n  * Apache License,\r\n  * Version 2.0\r\n", "Apache-2.0"),
+]
+
+
+def dressed(text):
+    """A notice plain, indented, with other line ends, and as a comment of several kinds."""
+    lines = text.split("\n")
+    return [text, "\n".join("    " + x for x in lines), text.replace("\n", "\r\n"), "/*\n" + "".join(f" * {x}\n" for x in lines) + " */\nint x;", "\n".join(f"# {x}".rstrip() for x in lines), "\n".join(f"// {x}" for x in lines) + "\n//////////\n", "Some words before it.\n\n" + text + "\nand more"]
+
+
+def test_notices_and_sentences_as_in_sql(spark):
+    rows = [(what, t) for what, text in NOTICES for t in dressed(text)] + [(what, t) for t, what in ALONE]
+    numbered = [(i, t) for i, (_, t) in enumerate(rows)]
+    got = rows_of(licenses.scan(table(spark, numbered)))
+    assert {r[0]: r[3] for r in got} == {i: what for i, (what, _) in enumerate(rows)}
+    assert [r[:3] for r in got if r[4] and r[0] < 7 * len(NOTICES)] == []
+    numbered += [(1000 + i, t) for i, (_, t) in enumerate(ODD)] + [(2000, "." * 200_000), (2001, ". " * 100_000), (2002, "copyright " * 50_000), (2003, "the software is provided as is " * 3000), (2004, "\n*" * 100_000), (2005, "a\n" * 100_000)]
+    got = rows_of(licenses.scan(table(spark, numbered)))
+    c = duckdb.connect()
+    c.register("documents", pa.table({"doc_id": [d for d, _ in numbered], "text": [t for _, t in numbered]}))
+    assert sorted(c.sql(licenses.oracle()).fetchall(), key=str) == got
+
+
+def test_rules_and_names_fit():
+    """No rule or sentence is without a name, and each SPDX identifier maps back to itself."""
+    assert set(licenses.IDENTIFIERS.values()) == set(licenses.SPDX)
+    known = {n for n, _ in licenses.SENTENCES}
+    assert {x for _, rule in licenses.RULES for x in re.findall(r"\w+(?=,)", rule)} <= known
