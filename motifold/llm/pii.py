@@ -34,7 +34,7 @@ NEEDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[ -]?[0-9]){11}"
 BYTE = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 #: (kind, what a text needs, pattern) of the generators.
 GENERATORS = [
-    ("secret", "(?i:pass|pwd|secret|token|key|auth)", r"""(?i:passw(?:or)?d|pwd|secret|token|api[_-]?key|access[_-]?key|auth)[ \t]*[=:][ \t]*["']?[A-Za-z0-9+/_.-]{4,}+["']?"""),
+    ("secret", "(?i:pass|pwd|secret|token|key|auth)", r"""(?i:passw(?:or)?d|pwd|secret|token|api[_-]?key|access[_-]?key|auth)[ \t]*[=:][ \t]*["']?[A-Za-z0-9+/_.!@#$%^&*~=-]{4,}+["']?"""),
     ("secret", "[0-9]", r"(?<![A-Za-z0-9])[A-Z0-9]{16,}+(?![A-Za-z0-9])"),
     ("secret", "[0-9]", r"(?<![A-Za-z0-9])[a-f0-9]{32,}+(?![A-Za-z0-9])"),
     ("phone", "[0-9]{3}", r"(?<![0-9+])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])"),
@@ -116,7 +116,7 @@ def _features(kind: Column, x: Column) -> Column:
     v, before = x["v"], F.lower(F.regexp_extract(x["before"], r"([^\n]*)\z", 1))
     length = F.length(v)
     count = lambda p: length - F.length(F.regexp_replace(v, p, ""))
-    value = F.regexp_extract(v, r"""[=:][ \t]*["']?([A-Za-z0-9+/_.-]+)""", 1)
+    value = F.regexp_extract(v, r"""[=:][ \t]*["']?([A-Za-z0-9+/_.!@#$%^&*~=-]+)""", 1)
     core = F.when(F.length(value) > 0, value).otherwise(v)
     all_ = {
         "kind": kind, "length": F.length(core), "digits": F.length(_digits(core)), "upper": count("[A-Z]"), "lower": count("[a-z]"), "other": count("[^A-Za-z0-9]"),
@@ -124,9 +124,9 @@ def _features(kind: Column, x: Column) -> Column:
         "variety": F.size(F.array_distinct(F.split(core, ""))),
         "word": core.rlike("^[A-Za-z]+$").cast("int"),
         "keyword": F.when(F.length(value) > 0, 1).otherwise(0),
-        "told": before.rlike("(phone|call|tel|mobile|fax|contact|ssn|social|security|reach|dial|key|secret|token|password|credential|aws)").cast("int"),
+        "told": before.rlike(r"(phone|call|tel|mobile|cell|fax|contact|ssn|social|security|taxpayer|reach|ring|dial|text me|whatsapp|key|secret|token|password|credential|aws|card|visa|amex)").cast("int"),
         "quoted": v.rlike("[\"']").cast("int"),
-        "money": before.rlike(r"(commit|sha|md5|hash|checksum|isbn|order|invoice|version|part|serial|batch|digest|revision|ticket|item|no\.?|#|[$€]) *[:=]? *$").cast("int"),
+        "money": before.rlike(r"(commit|sha1?|sha256|md5|hash|checksum|isbn|order|invoice|version|part|serial|batch|digest|revision|ticket|item|tracking|model|[$€])(?: number| no\.?| id| code| is)? *[:=#]? *$").cast("int"),
         "joined": before.rlike("[A-Za-z0-9_/.-]$").cast("int"),
         "luhn": F.when((F.length(_digits(core)) >= 12) & (F.length(_digits(core)) <= 19), _luhn(core)).otherwise(False).cast("int"),
     }
@@ -172,8 +172,10 @@ def _examples(n: int, seed: int) -> list[tuple[str, int]]:
         lambda: f"{r.choice(['password', 'passwd', 'pwd'])}{r.choice(['=', ' = ', ': '])}{pool(r.choice([hexes, mixed]), r.randint(10, 24))}",
         lambda: f"{r.choice(['api-key', 'access_key', 'token'])}={pool(mixed, r.randint(16, 40))}",
         lambda: f"{r.choice(['', 'aws key ', 'key '])}AKIA{pool(caps, 16)}",
-        lambda: f"{r.choice(['phone', 'call', 'tel', 'contact', 'mobile'])}{r.choice([' ', ': ', ' me at '])}{phone()}",
-        lambda: f"{r.choice(['SSN', 'social security number', 'ssn'])}{r.choice([' ', ': ', ' is '])}{pool(digits, 3)}-{pool(digits, 2)}-{pool(digits, 4)}",
+        lambda: f"{r.choice(['phone', 'call', 'tel', 'contact', 'mobile', 'cell', 'fax', 'ring', 'reach', 'text me', 'dial'])}{r.choice([' ', ': ', ' me at ', ' on ', ' number ', ' her at '])}{phone()}",
+        lambda: f"{r.choice(['', 'on ', 'at ', 'or '])}{r.choice(['({}) {}-{}', '{}-{}-{}']).format(pool(digits, 3), pool(digits, 3), pool(digits, 4))}",
+        lambda: f"{r.choice(['SSN', 'social security number', 'ssn', 'social security no', 'SSN no.', 'taxpayer', ''])}{r.choice([' ', ': ', ' is ', ' was '])}{pool(digits, 3)}-{pool(digits, 2)}-{pool(digits, 4)}",
+        lambda: f"{r.choice(['password', 'passwd', 'pwd', 'secret'])}{r.choice(['=', ' = ', ': '])}{word()}{pool(digits, r.randint(1, 4))}{r.choice(['', '!', '&', '#', '$'])}{pool(mixed, r.randint(1, 6))}",
     ]
     bad = [
         lambda: f"{r.choice(['token', 'secret', 'key', 'password', 'auth'])}{r.choice([': ', ' = ', '='])}{word()}",
@@ -183,8 +185,9 @@ def _examples(n: int, seed: int) -> list[tuple[str, int]]:
         lambda: card(False),
         lambda: card(False),
         lambda: pool(string.ascii_uppercase, r.randint(16, 30)),
-        lambda: f"{r.choice(['order', 'isbn', 'invoice', 'part', 'serial'])} {pool(digits, 3)}-{pool(digits, 2)}-{pool(digits, 4)}",
-        lambda: f"{r.choice(['order', 'serial', 'part', 'version', 'invoice', 'item'])} {phone()}",
+        lambda: f"{r.choice(['order', 'isbn', 'invoice', 'part', 'serial', 'ticket', 'tracking', 'model'])}{r.choice([' ', ' number ', ' no. ', ' id ', ': ', ' #'])}{pool(digits, 3)}-{pool(digits, 2)}-{pool(digits, 4)}",
+        lambda: f"{r.choice(['order', 'serial', 'part', 'version', 'invoice', 'item', 'tracking', 'model'])}{r.choice([' ', ' number ', ' no. ', ': '])}{phone()}",
+        lambda: f"{r.choice(['of', 'scored', 'had', 'from', 'with', 'to'])} {r.choice(['{} {} {}', '{}.{}.{}']).format(pool(digits, 3), pool(digits, 3), pool(digits, 4))}",
         lambda: f"token: {r.choice(['true', 'false', 'none', 'null', '1.0', 'abcd'])}",
     ]
     out = []
@@ -299,22 +302,48 @@ def train(spark, examples: int = EXAMPLES, seed: int = 11) -> Model:
 # Detection
 
 
+def _blocks(spans: Column) -> Column:
+    """An array in slices of BLOCK, none for an empty one."""
+    n = F.size(spans)
+    return F.when(n > 0, F.transform(F.sequence(F.lit(0), F.call_function("div", n - 1, F.lit(BLOCK)).cast("int")), lambda b: F.slice(spans, b * BLOCK + 1, F.lit(BLOCK)))).otherwise(F.array())
+
+
+def _reached(df: DataFrame, spans: str, out: str) -> DataFrame:
+    """With `out`: the structs of `spans`, which are ordered by s and have an e, and p: the largest e before each, at first 0.
+
+    By blocks, so that no array grows by one element at a time for long.
+    """
+    df = df.withColumn(f"{out}_b", _blocks(F.col(spans)))
+    most = F.transform(f"{out}_b", lambda b: F.array_max(F.transform(b, lambda x: x["e"])))
+    grown = lambda state, x: F.concat(state, F.array(F.greatest(F.element_at(state, -1), x)))
+    df = df.withColumn(f"{out}_p", F.aggregate(most, F.array(F.lit(0)), grown))
+
+    def block(b: Column, i: Column) -> Column:
+        before = F.aggregate(F.transform(b, lambda x: x["e"]), F.array(F.get(f"{out}_p", i)), grown)
+        return F.zip_with(b, F.slice(before, F.lit(1), F.size(b)), lambda x, p: F.struct(x.alias("x"), p.alias("p")))
+
+    return df.withColumn(out, F.flatten(F.transform(f"{out}_b", block))).drop(f"{out}_b", f"{out}_p")
+
+
 def find(df: DataFrame, text: str, model: Model, out: str) -> DataFrame:
-    """With `out`_base and `out`_all: structs (s, k, e), ordered by start, then kind."""
+    """With `out`_base and `out`_all: structs (s, k, e), ordered by start, then kind.
+
+    All that the model chooses stays, overlapping or not, but for what lies within another span.
+    """
     names = {k: f"{out}_{k}" for k in BASE}
     df = matched(df, text, [(names[k], NEEDS[k], p) for k, p in BASE.items()])
     df = candidates(df, text, f"{out}_c")
     span = lambda k: lambda x: F.struct(x["s"].alias("s"), F.lit(k).alias("k"), x["e"].alias("e"))
     base = F.concat(*(F.transform(F.filter(names[k], _check(k)), span(KINDS.index(k))) for k in BASE))
     df = df.withColumn(f"{out}_base", F.array_sort(base))
-    free = lambda c: ~F.exists(f"{out}_base", lambda b: (b["s"] <= c["s"]) & (c["e"] <= b["e"]))
-    more = F.filter(f"{out}_c", lambda c: model.chosen(c["k"], c["f"]) & free(c))
-    more = F.array_sort(F.transform(more, lambda c: F.struct(c["s"].alias("s"), c["k"].alias("k"), c["e"].alias("e"))))
-    df = df.withColumn(f"{out}_more", more)
-    # of those that overlap, the first stays
-    alone = F.filter(f"{out}_more", lambda c, i: (i == 0) | ~F.exists(F.slice(f"{out}_more", F.greatest(i - 7, F.lit(1)), F.least(i, F.lit(8))), lambda b: c["s"] < b["e"]))
-    df = df.withColumn(f"{out}_all", F.array_sort(F.concat(f"{out}_base", alone)))
-    return df.drop(*names.values(), f"{out}_c", f"{out}_more")
+    # what lies within another span comes after it in this order, and doesn't reach beyond what comes before
+    keyed = lambda own: lambda x: F.struct(x["s"].alias("s"), (-x["e"]).alias("ne"), F.lit(own).alias("m"), x["k"].alias("k"), x["e"].alias("e"))
+    more = F.filter(f"{out}_c", lambda c: model.chosen(c["k"], c["f"]))
+    df = df.withColumn(f"{out}_o", F.array_sort(F.concat(F.transform(f"{out}_base", keyed(0)), F.transform(more, keyed(1)))))
+    df = _reached(df, f"{out}_o", f"{out}_r")
+    kept = F.filter(f"{out}_r", lambda y: (y["x"]["m"] == 0) | (y["p"] < y["x"]["e"]))
+    df = df.withColumn(f"{out}_all", F.array_sort(F.transform(kept, lambda y: F.struct(y["x"]["s"].alias("s"), y["x"]["k"].alias("k"), y["x"]["e"].alias("e")))))
+    return df.drop(*names.values(), f"{out}_c", f"{out}_o", f"{out}_r")
 
 
 def _check(kind: str):
@@ -330,7 +359,7 @@ def personal_data(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans (base ones and the method's).
 
     A null text counts as an empty one and has no spans. Each row gives a row; other columns are ignored.
-    Of equal starts, spans come in the order of KINDS. The method adds no span that lies within a base one; others can overlap it.
+    Of equal starts, spans come in the order of KINDS. The method adds no span that lies within another one; spans can overlap.
     """
     rows = pick(docs, "doc_id", "text").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     found = find(rows, "text", model or train(docs.sparkSession), "x")
@@ -345,19 +374,18 @@ def op4_pii(spark, sf_dir: str) -> DataFrame:
 def redact(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """The documents with each run of overlapping spans replaced by the first one's kind in brackets.
 
-    All columns stay, whatever their names; texts without spans, null ones too, stay as they are.
+    All columns stay, whatever their names; texts without spans, null ones too, stay as they are. The text is
+    cut once for each block of runs, then within the block's part, so the work stays linear.
     """
     plain, name = positional(docs)
     text = name["text"]
-    found = find(plain, text, model or train(docs.sparkSession), "x")
+    found = _reached(find(plain, text, model or train(docs.sparkSession), "x"), "x_all", "x_r")
     kinds = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
-
-    def cut(state: Column, x: Column) -> Column:
-        new = x["s"] >= state["at"]
-        piece = F.array(F.substring(text, state["at"] + 1, x["s"] - state["at"]), F.get(kinds, x["k"]))
-        return F.struct(F.greatest(state["at"], x["e"]).alias("at"), F.when(new, F.concat(state["out"], piece)).otherwise(state["out"]).alias("out"))
-
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    whole = F.aggregate("x_all", start, cut, lambda x: F.array_join(F.concat(x["out"], F.array(F.substring(text, x["at"] + 1, F.length(text)))), ""))
-    cleaned = F.when(F.size("x_all") > 0, whole).otherwise(F.col(text))
+    # a run begins where no span before it reaches; what lies between is the text from p on
+    found = found.withColumn("x_r", F.filter("x_r", lambda y: y["x"]["s"] >= y["p"]))
+    cut = F.transform(_blocks(F.col("x_r")), lambda b: F.struct(F.get(b, F.lit(0))["p"].alias("at"), b.alias("b"), F.substring(text, F.get(b, F.lit(0))["p"] + 1, F.element_at(b, -1)["x"]["s"] - F.get(b, F.lit(0))["p"]).alias("t")))
+    piece = lambda c: lambda y: F.concat(F.substring(c["t"], y["p"] - c["at"] + 1, y["x"]["s"] - y["p"]), F.get(kinds, y["x"]["k"]))
+    whole = F.array_join(F.transform(cut, lambda c: F.array_join(F.transform(c["b"], piece(c)), "")), "")
+    end = F.array_max(F.transform("x_all", lambda x: x["e"]))
+    cleaned = F.when(F.size("x_all") > 0, F.concat(whole, F.substring(text, end + 1, F.length(text)))).otherwise(F.col(text))
     return found.select(*(cleaned.alias(c) if c == text else F.col(c) for c in plain.columns)).toDF(*docs.columns)
