@@ -1,9 +1,12 @@
 """HTML to text by layout: a tree builder with implied tags, visibility rules, and a renderer of blocks.
 
-All visible text comes out once, in document order. Paragraphs, headings, lists and tables stand apart by a
-blank line, other blocks by a new line; items have bullets or numbers and are indented by depth; a table's
-cells are padded to the width of their column. Depth, sizes and time are linear in the page: the tree is
-built with a stack and rendered without recursion.
+All visible text comes out once, in document order, whatever the depth. Paragraphs, headings, lists and tables
+stand apart by a blank line, other blocks by a new line; items have bullets or numbers and are indented by depth,
+up to `INDENT` blanks; a table's cells begin where their column does, if that is within `WIDE` characters, and
+two blanks behind the cell before else. Tables within `NESTED` others are written cell by cell.
+
+Time and sizes are linear in the page: the tree is built with a stack that knows where its tags are, and is
+rendered without recursion. A tag that the page's end cuts off is no text.
 """
 
 from __future__ import annotations
@@ -31,14 +34,24 @@ CLOSES = {
     "tr": ({"tr", "td", "th", "caption", "colgroup"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "body": ({"head"}, set()),
     "tbody": ({"tbody", "thead", "tfoot", "caption", "colgroup"}, {"table"}), "thead": ({"tbody", "thead", "tfoot", "caption", "colgroup"}, {"table"}), "tfoot": ({"tbody", "thead", "tfoot", "caption", "colgroup"}, {"table"}),
 }
+CLOSES = {t: (frozenset(tags), frozenset(fences)) for t, (tags, fences) in CLOSES.items()}
 #: Start tags that close an open paragraph.
 CLOSE_P = BLOCKS - {"html", "body", "tr", "td", "th", "tbody", "thead", "tfoot", "caption", "option", "optgroup", "legend"}
 #: An end tag doesn't look for its start beyond these.
 FENCES = frozenset({"table", "td", "th", "caption", "template", "object"})
-TOKEN = re.compile(r"""<!--(?:>|->|.*?(?:--!?>|\Z))|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"'=]++|=\s*+(?:"[^"]*+"|'[^']*+'|)|["'])*+)>|<[!?/][^>]*+(?:>|\Z)""", re.S)
+TOKEN = re.compile(r"""<!--(?:>|->|.*?(?:--!?>|\Z))|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"'=]++|=\s*+(?:"[^"]*+"|'[^']*+'|)|["'])*+)(?:>|\Z)|<[!?/][^>]*+(?:>|\Z)""", re.S)
 ATTRIBUTE = re.compile(r"""([^\s"'>/=]++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++)))?+""")
 UNSEEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
 BLANKS = re.compile(r"[ \t\n\r\f]+")
+HEADINGS = frozenset(f"h{i}" for i in range(1, 7))
+#: What an end tag doesn't look beyond, if it isn't FENCES.
+ENDS = {t: FENCES - {t} for t in FENCES} | {t: FENCES - {t, "td", "th", "caption"} for t in ("table", "tr", "tbody", "thead", "tfoot")}
+P_ENDS, A_ENDS = FENCES | {"button"}, FENCES | BLOCKS
+#: Sets of tags whose innermost open one is asked for, and those that a tag is in.
+GROUPS = {frozenset(g) for g in (FENCES, P_ENDS, A_ENDS, HEADINGS, *ENDS.values(), *(x for pair in CLOSES.values() for x in pair))}
+GROUPS_OF = {t: [g for g in GROUPS if t in g] for t in frozenset().union(*GROUPS)}
+#: Blanks of indentation, characters up to which columns are kept, characters of a column, tables around a table, all at most.
+INDENT, WIDE, COLUMN, NESTED = 80, 400, 120, 8
 
 
 class Node:
@@ -50,10 +63,48 @@ class Node:
         self.foreign = tag in ("svg", "math")  # whether a slash can end its start tag and those within
 
 
+class Stack(list):
+    """Open elements, and the places of those of a tag and of those of a group of tags."""
+
+    def __init__(self, root: Node):
+        super().__init__([root])
+        self.places: dict = {}
+
+    def open(self, node: Node) -> None:
+        for key in (node.tag, *GROUPS_OF.get(node.tag, ())):
+            self.places.setdefault(key, []).append(len(self))
+        self.append(node)
+
+    def shut(self, place: int) -> None:
+        """Close the element at a place, and those within."""
+        while len(self) > place:
+            tag = self.pop().tag
+            for key in (tag, *GROUPS_OF.get(tag, ())):
+                self.places[key].pop()
+
+    def last(self, key) -> int:
+        """The place of the innermost open one of a tag or group; 0, the root's, without any."""
+        found = self.places.get(key)
+        return found[-1] if found else 0
+
+    def close(self, tags: frozenset, fences: frozenset) -> None:
+        """Close up to the outermost of the innermost open ones of `tags`, which no fence stands before."""
+        k = self.last(tags)
+        if k > self.last(fences):
+            while k > 1 and self[k - 1].tag in tags:
+                k -= 1
+            self.shut(k)
+
+    def imply(self, tag: str) -> None:
+        node = Node(tag, None, self[-1].tabled)
+        self[-1].children.append(node)
+        self.open(node)
+
+
 def parse(html: str) -> Node:
     """The tree. Tags that can be left out are implied, end tags without a start are passed over."""
     root = Node("html")
-    stack = [root]
+    stack = Stack(root)
     at = 0
     while at < len(html):
         m = TOKEN.search(html, at)
@@ -63,7 +114,7 @@ def parse(html: str) -> Node:
         if m.start() > at:
             _text(stack, html[at : m.start()])
         at = m.end()
-        if m[2] is None:
+        if m[2] is None or html[at - 1] != ">":
             continue
         tag = m[2].lower()
         if m[1]:
@@ -84,68 +135,48 @@ def parse(html: str) -> Node:
                 node.children.append(unescape(html[at : end.start()]))
             at = end.end()
         elif tag not in VOID:
-            stack.append(node)
+            stack.open(node)
     return root
 
 
-def _text(stack: list[Node], text: str) -> None:
+def _text(stack: Stack, text: str) -> None:
     if stack[-1].tag in ("table", "tbody", "thead", "tfoot", "tr") and not text.strip(" \t\n\r\f"):
         return
     if stack[-1].tag == "head" and text.strip(" \t\n\r\f"):
-        stack.pop()  # text ends the head
+        stack.shut(len(stack) - 1)  # text ends the head
     stack[-1].children.append(unescape(text))
 
 
-def _close(stack: list[Node], tags, fences) -> None:
-    """Close up to the outermost open one of `tags` that no fence stands before."""
-    for k in range(len(stack) - 1, 0, -1):
-        if stack[k].tag in fences:
-            break
-        if stack[k].tag in tags:
-            last = k
-            while last > 1 and stack[last - 1].tag in tags:
-                last -= 1
-            del stack[last:]
-            break
-
-
-def _start(stack: list[Node], tag: str) -> None:
+def _start(stack: Stack, tag: str) -> None:
     if stack[-1].tag == "head" and tag not in HIDDEN and tag not in VOID:
-        stack.pop()
+        stack.shut(len(stack) - 1)
     if tag in CLOSES:
-        _close(stack, *CLOSES[tag])
-    if tag in CLOSE_P and len(stack) < 500:
-        _close(stack, {"p"}, FENCES | {"button"})
+        stack.close(*CLOSES[tag])
+    if tag in CLOSE_P:
+        k = stack.last("p")
+        if k > stack.last(P_ENDS):
+            stack.shut(k)
     elif tag == "a":
-        _close(stack, {"a"}, FENCES | BLOCKS)
+        k = stack.last("a")
+        if k > stack.last(A_ENDS):
+            stack.shut(k)
     if tag in ("td", "th") and stack[-1].tag != "tr":
         if stack[-1].tag == "table":
-            _imply(stack, "tbody")
+            stack.imply("tbody")
         if stack[-1].tag in ("tbody", "thead", "tfoot"):
-            _imply(stack, "tr")
+            stack.imply("tr")
     elif tag == "tr" and stack[-1].tag == "table":
-        _imply(stack, "tbody")
-
-
-def _imply(stack: list[Node], tag: str) -> None:
-    node = Node(tag, None, stack[-1].tabled)
-    stack[-1].children.append(node)
-    stack.append(node)
+        stack.imply("tbody")
 
 
-def _end(stack: list[Node], tag: str) -> None:
+def _end(stack: Stack, tag: str) -> None:
     if tag == "br":
         stack[-1].children.append(Node("br"))
         return
-    fences = FENCES - {tag} if tag in FENCES else FENCES
-    fences = fences - {"td", "th", "caption"} if tag in ("table", "tr", "tbody", "thead", "tfoot") else fences
-    for k in range(len(stack) - 1, 0, -1):
-        if stack[k].tag == tag or (tag[0] == "h" and tag[1:].isdigit() and re.fullmatch("h[1-6]", stack[k].tag)):
-            del stack[k:]
-            return
-        if stack[k].tag in fences:
-            return
-    if tag == "p":
+    k = stack.last(HEADINGS if tag in HEADINGS else tag)
+    if k > stack.last(ENDS.get(tag, FENCES)):
+        stack.shut(k)
+    elif tag == "p" and k == 0:
         stack[-1].children.append(Node("p"))
 
 
@@ -214,7 +245,7 @@ def render(root: Node) -> str:
     work: list = [root]
     lists: list[list] = []  # of open lists: next number, or None
     grids: list[dict] = []  # of open tables: their rows, and the page around them
-    kept = 0
+    kept = deep = 0
     while work:
         x = work.pop()
         if isinstance(x, str):
@@ -241,32 +272,38 @@ def render(root: Node) -> str:
             continue
         if tag == "table":
             page.space() if not grids else page.line()
-            grids.append({"rows": [], "around": page})
-            page = Page()
+            deep += 1
+            if deep <= NESTED:
+                grids.append({"rows": [], "around": page})
+                page = Page()
 
             def close():
-                nonlocal page
+                nonlocal page, deep
                 page.line()
-                grid = grids.pop()
-                loose, page = page.lines, grid["around"]
-                for line in loose + aligned(grid["rows"]):
-                    page._put(line) if line else None
-                    page.line()
+                deep -= 1
+                if deep < NESTED:
+                    grid = grids.pop()
+                    loose, page = page.lines, grid["around"]
+                    for line in loose + aligned(grid["rows"]):
+                        page._put(line) if line else None
+                        page.line()
                 page.space()
 
             done.append(close)
-        elif tag == "tr" and grids:
+        elif tag == "tr" and grids and deep <= NESTED:
             grids[-1]["rows"].append([])
-        elif tag in ("td", "th") and grids:
+        elif tag in ("td", "th") and grids and deep <= NESTED:
             outer, page = page, Page()
             rows = grids[-1]["rows"]
             if not rows:
                 rows.append([])
 
-            def close(outer=outer, row=rows[-1], span=max(1, min(1000, _number(x.attributes.get("colspan", ""), 1)))):
+            across, down = max(1, min(1000, _number(x.attributes.get("colspan", ""), 1))), _number(x.attributes.get("rowspan", ""), 1)
+
+            def close(outer=outer, row=rows[-1], across=across, down=down if down > 0 else 1 << 30):
                 nonlocal page
                 page.line()
-                row.append((page.lines, span))
+                row.append((page.lines, across, down))
                 page = outer
 
             done.append(close)
@@ -288,7 +325,7 @@ def render(root: Node) -> str:
             if number is not None:
                 number = _number(x.attributes.get("value", ""), number)
                 mark, lists[-1][0] = f"{number}. ", number + 1
-            page.lead, page.indent = outer + mark, outer + " " * len(mark)
+            page.lead, page.indent = outer + mark, (outer + " " * len(mark))[:INDENT]
 
             def close(outer=outer):
                 page.line()
@@ -297,7 +334,7 @@ def render(root: Node) -> str:
             done.append(close)
         elif tag == "dd" or tag == "blockquote":
             page.space() if tag == "blockquote" else page.line()
-            outer, page.indent = page.indent, page.indent + "  "
+            outer, page.indent = page.indent, (page.indent + "  ")[:INDENT]
 
             def close(outer=outer, wide=tag == "blockquote"):
                 page.space() if wide else page.line()
@@ -353,25 +390,56 @@ def render(root: Node) -> str:
     return "\n".join(page.lines)
 
 
-def aligned(rows: list[list[tuple[list[str], int]]]) -> list[str]:
-    """Lines of a table: columns two blanks apart, each as wide as its widest cell that spans no other."""
-    widths: list[int] = []
-    for row in rows:
-        at = 0
-        for lines, span in row:
-            widths.extend([0] * (at + span - len(widths)))
-            if span == 1:
-                widths[at] = max(widths[at], *map(len, lines), 0)
-            at += span
+def places(rows: list[list[tuple[list[str], int, int]]]) -> list[list[int]]:
+    """The column at which each cell begins; those that cells above reach down to are passed over."""
+    taken: dict[int, tuple[int, int]] = {}  # columns up to which, and rows up to which, a cell from above reaches
+    ahead: dict[int, tuple[int, int]] = {}  # the same for runs of such cells
+    out = []
+    for r, row in enumerate(rows):
+        at, own = 0, []
+        for _, across, down in row:
+            start, until = at, 1 << 30
+            while True:
+                found = ahead.get(at)
+                if found is None or r >= found[1]:
+                    found = taken.get(at)
+                if found is None or r >= found[1]:
+                    break
+                at, until = found[0], min(until, found[1])
+            if at > start:
+                ahead[start] = (at, until)
+            own.append(at)
+            if down > 1:
+                taken[at] = (at + across, r + down)
+            at += across
+        out.append(own)
+    return out
+
+
+def aligned(rows: list[list[tuple[list[str], int, int]]]) -> list[str]:
+    """Lines of a table: columns two blanks apart, each as wide as its widest cell that spans no other. Columns in which no cell begins take no room."""
+    begins = places(rows)
+    number = {c: i for i, c in enumerate(sorted({c for own in begins for c in own}))}
+    widths = [0] * len(number)
+    for row, own in zip(rows, begins):
+        for (lines, across, _), c in zip(row, own):
+            if across == 1:
+                widths[number[c]] = max(widths[number[c]], *map(len, lines), 0)
+    starts = [0]
+    for w in widths:
+        starts.append(min(WIDE, starts[-1] + min(w, COLUMN) + 2))
     out = []
-    for row in rows:
-        for k in range(max((len(lines) for lines, _ in row), default=0)):
-            at, line = 0, []
-            for lines, span in row:
-                width = sum(widths[at : at + span]) + 2 * (span - 1)
-                line.append((lines[k] if k < len(lines) else "").ljust(width))
-                at += span
-            out.append("  ".join(line).rstrip(" "))
+    for row, own in zip(rows, begins):
+        cells = [(starts[number[c]], lines) for (lines, _, _), c in zip(row, own) if lines]
+        for k in range(max((len(lines) for _, lines in cells), default=0)):
+            line, size = [], 0
+            for start, lines in cells:
+                if k < len(lines) and lines[k]:
+                    blanks = max(start - size, 2 if size else 0)
+                    line.append(" " * blanks + lines[k])
+                    size += blanks + len(lines[k])
+            cells = [x for x in cells if len(x[1]) > k + 1]
+            out.append("".join(line))
     return out
 
 

@@ -687,6 +687,51 @@ def test_formulas_images_and_forms(page, text):
     assert html.extract(page) == text
 
 
+@pytest.mark.parametrize(
+    "part",
+    ["<span><a></a>", "<span><li></li>", "<ul><li>a", "<b><p>x", "<a ", '<a b=">" ', "<tr><td>x<td colspan=1000>y<td>z", "<tr><td rowspan=3>x<td rowspan=2 colspan=9>y", "<table><tr><td>x", "<dl><dd>x", "<h1>x</h2>"],
+)
+def test_hostile_pages_take_linear_time(part):
+    import time
+
+    page = "<table>" * part.startswith("<tr") + part * ((1 << 20) // len(part))
+    began = time.perf_counter()
+    text = html.extract(page)
+    assert time.perf_counter() - began < 8 and len(text) < 12 << 20
+    began = time.perf_counter()
+    assert html.extract("<div>" * 100_000 + "</b>" * 100_000) == ""
+    assert time.perf_counter() - began < 8
+
+
+@pytest.mark.parametrize("depth", [10, 400, 600, 10_000])
+def test_depth_changes_nothing(depth):
+    assert html.extract("<b>" * depth + "<p hidden>a<p>b") == "b"
+    assert html.extract("<div>" * depth + "<table><tr><td>x<td>y</table>z") == "x  y\n\nz"
+    words = html.extract("<table><tr><td>x<td>y" * depth).split()
+    assert Counter(words) == {"x": depth, "y": depth}
+
+
+def test_cells_under_a_tall_one_stand_aside():
+    assert html.extract("<table><tr><td rowspan=2>A<td>B<tr><td>C<tr><td>D<td>E</table>") == "A  B\n   C\nD  E"
+    assert html.extract("<table><tr><td rowspan=0>A<td>B<tr><td>C<tr><td>D</table>") == "A  B\n   C\n   D"
+    r = random.Random(2)
+    for _ in range(200):  # against a grid of single places
+        rows = [[(["x"], r.randint(1, 3), r.randint(1, 4)) for _ in range(r.randint(0, 5))] for _ in range(8)]
+        taken, want = set(), []
+        for i, row in enumerate(rows):
+            at, own = 0, []
+            for _, across, down in row:
+                while (i, at) in taken:
+                    at += 1
+                own.append(at)
+                at += across
+            want.append(own)
+            for c, (_, across, down) in zip(own, row):
+                taken |= {(i + d, c + a) for d in range(1, down) for a in range(across)}
+        if all(not any((i, c + a) in taken for a in range(x[1])) for i, own in enumerate(want) for c, x in zip(own, rows[i])):  # cells that overlap have no one right place
+            assert html.places(rows) == want
+
+
 def test_page_tables(spark):
     deep = "<div>" * 30_000 + "x" + "<p>" * 2000
     rows = [(1, "<p>a"), (1, "<p>a"), (2, None), (3, ""), (None, "n"), (4, deep), (5, "<" * 20_000), (6, '<a b="' * 3000), (7, "<td>" * 3000)]
