@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..graph import Graph
 from ..plans.lineage import cut
+from .components import components
 from .traversal import bfs_levels
 
 
@@ -59,21 +60,10 @@ def by_shingles(graph: Graph, seeds: tuple[int, int] = (1, 2)) -> DataFrame:
     return _map(each, F.asc("h1"), F.asc("h2"), F.asc("id"))
 
 
-def component_roots(graph: Graph, rounds: int = 100) -> DataFrame:
+def component_roots(graph: Graph) -> DataFrame:
     """(id, root): the smallest id of the component of each node, edges taken both ways."""
-    edges = graph.edges.select("src", "dst").union(graph.edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
-    edges = cut(edges)
-    roots = cut(edges.select(F.col("src").alias("id")).distinct().withColumn("root", F.col("id")))
-    for _ in range(rounds):
-        near = edges.join(roots.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.min("root").alias("near"))
-        low = roots.join(near, "id", "left").select("id", F.least("root", "near").alias("next"), "root")
-        # and on to the root's own root, which halves long ways
-        hop = low.select(F.col("id").alias("next"), F.col("next").alias("far"))
-        new = cut(low.join(hop, "next", "left").select("id", F.least("next", "far").alias("next"), "root"))
-        if new.where("next <> root").isEmpty():
-            break
-        roots = new.select("id", F.col("next").alias("root"))
-    return roots
+    found = components(graph.edges.select(F.col("src").alias("a"), F.col("dst").alias("b")))
+    return graph.node_table().select("id").join(found.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("root", "id").alias("root"))
 
 
 def by_bfs(graph: Graph, root: int | None = None) -> DataFrame:
