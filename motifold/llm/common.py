@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..plans.lineage import cut as stage, release, sweep
+
 #: Texts handed to Python code at a time hold about this many characters.
 SLICE_CHARS = 1 << 20
-#: Bytes of a row group of staged tables.
-ROW_GROUP = 16 << 20
+
+
+__all__ = ["SLICE_CHARS", "documents", "pick", "positional", "release", "slices", "stage", "sweep"]
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,35 +35,6 @@ def positional(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
     return df.toDF(*(f"c{i}" for i in range(len(df.columns)))), names
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a temporary one only where none is set (tests, local mode)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = tempfile.mkdtemp(prefix="motifold-")
-        atexit.register(shutil.rmtree, found, ignore_errors=True)
-        spark.sparkContext.setCheckpointDir(found)
-    return found
-
-
-def stage(df: DataFrame) -> DataFrame:
-    """Write a table to the shared folder and read it again.
-
-    This cuts the lineage: whatever executor is lost later, the rows are neither computed
-    again nor able to change.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/motifold-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
-    # rows can be large: small row groups, whose size is looked at often, keep writers and readers small
-    df.write.options(**{"compression": "zstd", "parquet.block.size": str(ROW_GROUP), "parquet.block.size.row.check.min": "8", "parquet.page.size.row.check.min": "8"}).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def sweep(spark: SparkSession) -> None:
-    """Delete all tables staged by this application; their readers end with them."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/motifold-{spark.sparkContext.applicationId}")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def slices(column, chars: int = SLICE_CHARS, rows: int = 4096):
     """(first row, Python values) for runs of rows of an Arrow column with about `chars` characters."""
     import pyarrow.compute as pc

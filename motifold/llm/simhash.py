@@ -7,15 +7,17 @@ All matches are verified over the complete fingerprints. Equal fingerprints are
 no pairs. Places in a table that hold very many fingerprints are matched by a finer key: the rest of the
 bits differ by 3 at most, so one of the other half's four bytes is equal.
 
-Components come from alternating star contractions of the links, each round written to the shared folder.
+Components come from alternating star contractions of the links (operators/components.py).
 """
 
 from __future__ import annotations
 
-from itertools import accumulate
+from functools import reduce
+from itertools import accumulate, combinations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..operators.components import components
 from .common import documents, pick, positional, slices, stage
 
 DISTANCE, SEED, WORDS = 3, 42, 3
@@ -64,6 +66,16 @@ def _half(fp: Column, k: int) -> Column:
     return F.shiftright(fp, 32) if k else fp.bitwiseAND(F.lit(0xFFFFFFFF))
 
 
+def _masks(bits: int, equal: int) -> list[int]:
+    """Of the 32 bits of a half, all choices of `equal` pieces of `bits` bits."""
+    pieces = [((1 << bits) - 1) << at for at in range(0, 32, bits)]
+    return [sum(chosen) for chosen in combinations(pieces, equal)]
+
+
+#: Finer and finer keys of crowded places. Three bits differ at most, so they leave 1 of 4 bytes, and 5 of 8 half-bytes, as they are.
+FINER = (_masks(8, 1), _masks(4, 5))
+
+
 def links(fps: DataFrame, crowded: int = CROWDED) -> DataFrame:
     """Pairs (a, b), each once, of the distinct fingerprints `fp` within DISTANCE bits."""
     fp = F.col("fp")
@@ -78,44 +90,24 @@ def links(fps: DataFrame, crowded: int = CROWDED) -> DataFrame:
     own = F.array(*(place(k, _half(fp, k), True) for k in (0, 1)))
     table = fps.select("fp", F.explode(own).alias("x")).select(fp.alias("b"), "x.k", "x.v")
     probes = fps.select("fp", F.explode(F.concat(own, near(0), near(1))).alias("x")).select(fp.alias("a"), "x.k", "x.v", "x.same")
-    full = table.groupBy("k", "v").agg(F.count("*").alias("n")).where(F.col("n") > crowded).select("k", "v")
-    full = stage(full)
     close = (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= DISTANCE) & (~F.col("same") | (F.col("a") < F.col("b")))
     ends = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
-    if full.isEmpty():
-        return probes.join(table, ["k", "v"]).where(close).select(*ends).distinct()
-    thin = table.join(full, ["k", "v"], "left_anti")
-    found = probes.join(thin, ["k", "v"]).where(close).select(*ends)
-
-    def finer(x: DataFrame, name: str) -> DataFrame:
-        other = F.when(F.col("k") == 0, _half(F.col(name), 1)).otherwise(_half(F.col(name), 0))
-        byte = F.explode(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda j: F.struct(j.alias("j"), F.call_function("shiftright", other, j * 8).bitwiseAND(F.lit(0xFF)).alias("c"))))
-        return x.join(full, ["k", "v"], "left_semi").withColumn("y", byte).select("*", "y.j", "y.c").drop("y")
-
-    more = finer(probes, "a").join(finer(table, "b"), ["k", "v", "j", "c"]).where(close).select(*ends)
-    return found.union(more).distinct()
-
-
-def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
-    """(node, root) for every node with a link: root is the smallest node that it reaches."""
-    edges = stage(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")))
-    seen = None
-    for _ in range(rounds):
-        # smallest neighbours are written first: a join of two tables can split a node that a third of all links share,
-        # one with an aggregation in its stage can't
-        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = stage(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
-        large = stage(both.join(low, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
-        low = stage(large.groupBy("u").agg(F.min("v").alias("m")))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
-        edges = stage(small.where(F.col("u") != F.col("v")).distinct())
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == seen:
+    key, found = ["k", "v"], []
+    for level, masks in enumerate(FINER):
+        full = stage(table.groupBy(*key).agg(F.count("*").alias("n")).where(F.col("n") > crowded).select(*key))
+        if full.isEmpty():
             break
-        seen = now
-    else:
-        raise RuntimeError(f"links did not settle in {rounds} rounds")
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+        found.append(probes.join(table.join(full, key, "left_anti"), key).where(close).select(*ends))
+
+        def finer(x: DataFrame, name: str) -> DataFrame:
+            other = F.when(F.col("k") == 0, _half(F.col(name), 1)).otherwise(_half(F.col(name), 0))
+            pieces = F.array(*(F.struct(F.lit(j).alias(f"j{level}"), other.bitwiseAND(F.lit(m)).alias(f"c{level}")) for j, m in enumerate(masks)))
+            return x.join(full, key, "left_semi").select("*", F.explode(pieces).alias("y")).select("*", f"y.j{level}", f"y.c{level}").drop("y")
+
+        probes, table = finer(probes, "a"), finer(table, "b")
+        key = [*key, f"j{level}", f"c{level}"]
+    found.append(probes.join(table, key).where(close).select(*ends))
+    return reduce(DataFrame.union, found).distinct()
 
 
 def classes(rows: DataFrame) -> DataFrame:
@@ -148,10 +140,12 @@ def op5_simhash(spark, sf_dir: str) -> DataFrame:
 def keep_first(docs: DataFrame) -> DataFrame:
     """The documents of which each component of near-duplicates keeps one, the one with the smallest doc_id.
 
-    All columns stay, whatever their names. Of rows with the same id, one is kept; null ids come last.
+    All columns stay, whatever their names. Of rows with the same id, one is kept; null ids come last. Null, empty
+    and blank texts are near-duplicates of each other, so one of them stays. The numbered rows are written before
+    they are read twice, so a number is the same row's both times, whatever order `docs` comes in.
     """
     plain, name = positional(docs)
-    numbered = plain.withColumn("rid", F.monotonically_increasing_id())
+    numbered = stage(plain.withColumn("rid", F.monotonically_increasing_id()))
     order = F.struct(F.col(name["doc_id"]).isNull().alias("n"), F.col(name["doc_id"]).alias("d"), F.col("rid").alias("r"))
     rows = stage(fingerprints(numbered.select(order.alias("id"), F.col(name["text"]).alias("text"))))
     winners = classes(rows).select(F.col("first.r").alias("rid")).distinct()
