@@ -147,6 +147,10 @@ class Encoder:
     def _piece(self, piece: str) -> list[int]:
         return self.encode_piece(piece.encode())
 
+    def ids(self, piece: str) -> list[int]:
+        """A piece's ids; those of long ones aren't kept."""
+        return self.memo[piece] if len(piece) < LOOKUP else self._piece(piece)
+
     def encode_piece(self, piece: bytes) -> list[int]:
         whole = self.ranks.get(piece)
         if whole is not None:
@@ -192,7 +196,7 @@ class Encoder:
             return
         pieces = (m[0] for m in pattern.finditer(text))
         while run := list(islice(pieces, RUN)):
-            yield list(chain.from_iterable(self.memo[p] if len(p) < 256 else self._piece(p) for p in run))
+            yield list(chain.from_iterable(map(self.ids, run)))
 
     def encode(self, text: str) -> list[int]:
         return list(chain.from_iterable(self.runs(text)))
@@ -213,22 +217,23 @@ class Encoder:
         return n, ids_sha.hexdigest(), bytes_sha.hexdigest()
 
 
-_encoders: dict[int, Encoder] = {}
+_encoders: dict[str, Encoder] = {}
 
 
 def encoder(shared) -> Encoder:
-    """One for each Python worker and broadcast."""
-    key = hash((len(shared.value[0]), shared.value[1], next(iter(shared.value[2].items()), None)))
+    """One for each Python worker and vocabulary."""
+    key, *parts = shared.value
     if key not in _encoders:
         _encoders.clear()
-        _encoders[key] = Encoder(*shared.value)
+        _encoders[key] = Encoder(*parts)
     return _encoders[key]
 
 
 def share(spark, path: str, pattern: str):
-    """Broadcast a vocabulary: two entries for each token, whatever the data."""
+    """Broadcast a vocabulary, with a digest of all of it: two entries for each token, whatever the data."""
     ranks = read_ranks(path)
-    return spark.sparkContext.broadcast((ranks, plain_pattern(pattern), merged_halves(ranks)))
+    key = hashlib.sha256(repr((pattern, sorted(ranks.items()))).encode()).hexdigest()
+    return spark.sparkContext.broadcast((key, ranks, plain_pattern(pattern), merged_halves(ranks)))
 
 
 def default_vocabulary() -> tuple[str, str]:

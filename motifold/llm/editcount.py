@@ -96,8 +96,10 @@ class Document:
     def __init__(self, e: Encoder, text: str, state: tuple[list[int], list[int]] | None = None):
         self.e, self.text, self.encoded = e, text, 0
         if state is None:
-            pieces = e.pattern_for(text).findall(text)
-            state = list(map(len, pieces)), [len(e.memo[p]) for p in pieces]
+            state = [], []
+            for m in e.pattern_for(text).finditer(text):  # a piece at a time, as there can be very many
+                state[0].append(len(m[0]))
+                state[1].append(len(e.ids(m[0])))
         self.tree = Tree(*state)
 
     def edit(self, start: int, end: int, new: str) -> None:
@@ -126,7 +128,7 @@ class Document:
                 if m.start() >= start + len(new) and at == m.start() - shift and at >= end:
                     break
                 lengths.append(len(m[0]))
-                counts.append(len(self.e.memo[m[0]]))
+                counts.append(len(self.e.ids(m[0])))
                 pos = m.end()
             else:
                 pos = len(text)
