@@ -54,20 +54,26 @@ def base_fails(n_words: int, n_repeat_words: int) -> bool:
 
 
 class Grams:
-    """Buckets of the n-grams in the bytes of several texts, by kind, with the text that each is of."""
+    """Buckets of the n-grams in the bytes of several texts, by kind, with the text that each is of.
 
-    def __init__(self, raws: list[bytes]):
+    leads: for each, bytes at its start that were counted before, so what ends in them isn't counted again.
+    """
+
+    def __init__(self, raws: list[bytes], leads: list[int] | None = None):
         import numpy as np
 
         a = np.frombuffer(b"\n".join(raws), np.uint8)
         starts = np.cumsum([0, *(len(r) + 1 for r in raws)])
         owner = np.repeat(np.arange(len(raws), dtype=np.int32), np.diff(starts))[: len(a)]
         owner[starts[1:-1] - 1] = -1  # what stands between two texts is of neither
+        fresh = np.ones(len(a), bool)
+        for start, lead in zip(starts.tolist(), leads or ()):
+            fresh[start : start + lead] = False
         u = a.astype(np.uint32)
         gram = np.zeros(max(0, len(a) - GRAM + 1), np.uint32)
         for j in range(GRAM):
             gram = gram * np.uint32(0x01000193) + u[j : j + len(gram)]
-        whole = (owner[: len(gram)] == owner[GRAM - 1 :]) & (owner[: len(gram)] >= 0) if len(gram) else np.zeros(0, bool)
+        whole = (owner[: len(gram)] == owner[GRAM - 1 :]) & (owner[: len(gram)] >= 0) & fresh[GRAM - 1 :] if len(gram) else np.zeros(0, bool)
         chars, of_char = _bucket(gram.astype(np.uint64))[whole], owner[: len(gram)][whole]
 
         ink = ~((a == 32) | ((a >= 9) & (a <= 13)))
@@ -81,11 +87,12 @@ class Grams:
         else:
             words = np.zeros(0, np.uint64)
         of_word = owner[begin]
-        together = of_word[:-1] == of_word[1:]
+        new = fresh[begin]
+        together = (of_word[:-1] == of_word[1:]) & new[1:]
         pairs = (words[:-1] * np.uint64(0xC2B2AE3D27D4EB4F) + words[1:])[together]
         size = 1 << BITS
         #: (bucket, owner) for each kind; buckets of one kind follow those of another
-        self.kinds = [(chars, of_char), (_bucket(words) + size, of_word), (_bucket(pairs) + 2 * size, of_word[:-1][together])]
+        self.kinds = [(chars, of_char), (_bucket(words[new]) + size, of_word[new]), (_bucket(pairs) + 2 * size, of_word[:-1][together])]
         self.n = len(raws)
 
 
@@ -97,25 +104,27 @@ def _bucket(h):
     return ((h * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(64 - BITS)).astype(np.int64)
 
 
-def runs(raw: bytes, size: int = RUN):
-    """A long text in runs that end at blanks, or anywhere if there is none near."""
-    at = 0
-    while len(raw) - at > size:
-        cut = raw.rfind(b" ", at + size // 2, at + size)
-        cut = cut if cut > 0 else at + size
-        yield raw[at:cut]
+def runs(raw: bytes):
+    """(run, lead): a long text in runs that end at blanks, or anywhere if there is none near. A run begins with the last word of the one before, which is its lead, so no n-gram is lost."""
+    at = lead = 0
+    while len(raw) - at > RUN:
+        cut = raw.rfind(b" ", at + RUN // 2, at + RUN)
+        cut = cut if cut > 0 else at + RUN
+        yield raw[at - lead : cut], lead
+        lead = max(cut - 1 - raw.rfind(b" ", at, cut), GRAM - 1)
         at = cut
-    yield raw[at:]
+    yield raw[at - lead :], lead
 
 
 def margins(texts: list[str | None], weights):
     """For each text, the sum over kinds of the mean weight of its n-grams."""
     import numpy as np
 
-    raws, of = [], []
+    raws, leads, of = [], [], []
     for i, t in enumerate(texts):
-        for r in runs((t or "").encode()):
+        for r, lead in runs((t or "").encode()):
             raws.append(r)
+            leads.append(lead)
             of.append(i)
     of = np.array(of, np.int64)
     out = np.zeros(len(texts))
@@ -126,7 +135,7 @@ def margins(texts: list[str | None], weights):
         while end < len(raws) and (end == start or total + len(raws[end]) <= RUN):
             total += len(raws[end])
             end += 1
-        g = Grams(raws[start:end])
+        g = Grams(raws[start:end], leads[start:end])
         for k, (bucket, owner) in enumerate(g.kinds):
             np.add.at(sums[k], of[start:end], np.bincount(owner, weights[bucket], g.n))
             np.add.at(counts[k], of[start:end], np.bincount(owner, minlength=g.n))
@@ -141,8 +150,8 @@ def features(text: str | None) -> tuple[bytes, bytes]:
     import numpy as np
 
     total = np.zeros(3 << BITS)
-    for raw in runs((text or "").encode()):
-        for bucket, _ in Grams([raw]).kinds:
+    for raw, lead in runs((text or "").encode()):
+        for bucket, _ in Grams([raw], [lead]).kinds:
             total += np.bincount(bucket, minlength=len(total))
     parts = total.reshape(3, -1)
     parts /= np.maximum(parts.sum(1, keepdims=True), 1)
@@ -267,7 +276,7 @@ def op3_quality(spark, sf_dir: str) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that are kept, with all their columns, whatever their names."""
+    """The documents that are kept, with all their columns, whatever their names. Null and empty texts fail the base rules, so they go; rows that are repeated stay as often."""
     plain, name = positional(docs)
     model = train(docs, labels)
     scored = score(plain, model, name["text"], whole=True)

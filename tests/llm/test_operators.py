@@ -196,6 +196,22 @@ def test_encoding_tables(odd, empty, coder):
     assert rows_of(back) == sorted(((d, t or "") for d, t in ODD), key=str)
 
 
+def test_workers_tell_vocabularies_apart(spark, tmp_path, coder):
+    """Two vocabularies of one size that begin alike."""
+    import base64
+
+    ranks = dict(list(coder[0].ranks.items())[:400])
+    last = max(ranks, key=ranks.get)
+    other = {t: r for t, r in ranks.items() if t != last} | {b"qq": ranks[last]}
+    docs = table(spark, [(1, "qq the " + last.decode("latin-1")), (2, "qqqq")])
+    for own in (ranks, other):
+        path = tmp_path / f"{len(list(tmp_path.iterdir()))}.tiktoken"
+        path.write_text("".join(f"{base64.b64encode(t).decode()} {r}\n" for t, r in own.items()))
+        library = tiktoken.Encoding("own", pat_str=bpe.default_vocabulary()[1], mergeable_ranks=own, special_tokens={})
+        got = bpe.encode_documents(docs, str(path), bpe.default_vocabulary()[1], ids=True).collect()
+        assert {r.doc_id: r.ids for r in got} == {r.doc_id: library.encode_ordinary(r.text) for r in docs.collect()}
+
+
 # 3
 
 
@@ -227,6 +243,51 @@ def test_quality(spark, odd, empty, labels, texts):
     assert kept.columns == odd.columns
 
 
+def test_quality_on_rows_that_it_was_not_fitted_on(spark, texts):
+    """Fitted on a part of the labels; recall and precision on the others."""
+    wide = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{wide}/documents.parquet"), spark.read.parquet(f"{wide}/labels.parquet")
+    own = labels.where(F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0)
+    got = {r.doc_id: r for r in quality.quality_rules(docs, own).collect()}
+    known = {r.doc_id for r in own.collect()}
+    other = [(got[r.doc_id], r.quality) for r in labels.collect() if r.doc_id not in known and not got[r.doc_id].base_failed]
+    junk, good = [g for g, q in other if not q], [g for g, q in other if q]
+    assert len(junk) >= 5 and len(good) >= 50
+    assert sum(not g.kept for g in junk) >= 0.9 * len(junk) and sum(g.kept for g in good) >= 0.98 * len(good)
+
+
+def slow_margin(text, w):
+    """By loops over words, pairs and 4-grams, each hashed alone."""
+    mask = (1 << 64) - 1
+
+    def bucket(h):
+        h = h * 0x9E3779B97F4A7C15 & mask
+        h ^= h >> 29
+        return (h * 0xBF58476D1CE4E5B9 & mask) >> 64 - quality.BITS
+
+    raw = (text or "").encode()
+    words = [sum((b + 1) * ((k * 0x9E3779B97F4A7C15 & mask) | 1) for k, b in enumerate(x)) & mask for x in raw.split()]
+    pairs = [(a * 0xC2B2AE3D27D4EB4F + b) & mask for a, b in zip(words, words[1:])]
+    grams = []
+    for i in range(len(raw) - quality.GRAM + 1):
+        h = 0
+        for b in raw[i : i + quality.GRAM]:
+            h = (h * 0x01000193 + b) & 0xFFFFFFFF
+        grams.append(h)
+    return sum(sum(w[bucket(h) + (k << quality.BITS)] for h in own) / len(own) for k, own in enumerate((grams, words, pairs)) if own)
+
+
+def test_margins_match_loops_and_runs_lose_nothing(texts, monkeypatch):
+    import numpy as np
+
+    w = np.random.default_rng(1).normal(size=3 << quality.BITS)
+    some = [*list(texts.values())[:40], None, "", "one", "a b", "é" * 9, "long words " * 30]
+    want = [slow_margin(t, w) for t in some]
+    assert quality.margins(some, w).tolist() == pytest.approx(want)
+    monkeypatch.setattr(quality, "RUN", 300)
+    assert quality.margins(some, w).tolist() == pytest.approx(want)
+
+
 def test_scores_do_not_depend_on_batches():
     import numpy as np
 
@@ -412,7 +473,7 @@ def test_fingerprints(spark, texts):
         assert simhash.fingerprint(t) == slow_fingerprint(t)
 
 
-@pytest.mark.parametrize("crowded", [256, 2])
+@pytest.mark.parametrize("crowded", [256, 20, 2])
 def test_links_are_all_found(spark, crowded):
     r = random.Random(5)
     seeds = [r.getrandbits(64) for _ in range(12)] + [0, (1 << 64) - 1, 1 << 63, 1 << 31]
@@ -448,6 +509,18 @@ def test_near_duplicates(spark, odd, empty):
     assert kept.columns == odd.columns and kept.count() == len(set(group))
 
 
+def test_one_row_stays_whatever_the_order(spark):
+    """Over a shuffled input whose rows come in another order each time, with repeated and null ids."""
+    rows = [(i % 50, f"text number {i % 7} of some words " * 4) for i in range(300)] + [(None, "text number 3 of some words " * 4), (None, None), (9, "")]
+    docs = table(spark, rows).repartition(7, F.rand())
+    kept = simhash.keep_first(docs).collect()
+    want = {}
+    for d, t in rows:
+        want.setdefault(slow_fingerprint(t), []).append(d)
+    assert sorted(r.doc_id for r in kept) == sorted(min(x for x in v if x is not None) for v in want.values())
+    assert {slow_fingerprint(r.text) for r in kept} == set(want)
+
+
 # 6
 
 
