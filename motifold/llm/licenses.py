@@ -166,11 +166,14 @@ RULES = [
 
 #: What a run of words can be.
 RUN, IN_LINE = "[a-z0-9 L]{0,600}", "[a-z0-9 ]{0,300}"
+#: Of ASCII: all but small letters, digits and a new line; the same without Z; without Z and a blank; without Z and L, but with a new line; and without a blank.
+MARK, MARK_Z, MARK_ZB = r"[\x00-\x09\x0b-/:-`{-\x7f]", r"[\x00-\x09\x0b-/:-Y\[-`{-\x7f]", r"[\x00-\x09\x0b-\x1f!-/:-Y\[-`{-\x7f]"
+GAP, INK = r"[\x00-/:-KM-Y\[-`{-\x7f]", r"[\x00-\x1f!-/:-KM-Y\[-`{-\x7f]"
 #: What normalises a lower-case text. Z stands between sentences, L for a line break within one.
 #: A run of 64 marks ends a sentence; it bounds what is looked at again.
 STEPS = [
-    (r"\r\n?", "\n"), (r"([0-9])\+", r"\1 or later"), (r"\bv\.[ \t]*([0-9])", r"v \1"), (r"[^a-z0-9\n]{64,}", ". "), (r"[.;:!?][^a-z0-9\n]*\n", "Z"), (r"\n[^a-z0-9\nZ]*\n", "Z"),
-    (r"[.;!?][^a-z0-9\n Z]*[ \t]", "Z"), (r"\n", "L"), (r"[^a-z0-9ZL]+", " "), (r" ?[ZL]*Z[ ZL]*", "ZZ"), (r" ?L[L ]*", "LL"),
+    (r"[\x{80}-\x{10ffff}]+", "_"), (r"\r\n?", "\n"), (r"([0-9])\+", r"\1 or later"), (r"\bv\.[ \t]*([0-9])", r"v \1"), (f"{MARK}{{64,}}", ". "), (f"[.;:!?]{MARK}*\n", "Z"), (f"\n{MARK_Z}*\n", "Z"),
+    (f"[.;!?]{MARK_ZB}*[ \t]", "Z"), (r"\n", "L"), (f"{INK}{GAP}*| {GAP}+", " "), (r" ?[ZL]*Z[ ZL]*", "ZZ"), (r" ?L[L ]*", "LL"),
 ]
 CAPITALS, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Of bracketed identifiers: those that no rule needs, and an empty sequence.

@@ -936,7 +936,7 @@ def test_notices_and_sentences_as_in_sql(spark):
     got = rows_of(licenses.scan(table(spark, numbered)))
     assert {r[0]: r[3] for r in got} == {i: what for i, (what, _) in enumerate(rows)}
     assert [r[:3] for r in got if r[4] and r[0] < 7 * len(NOTICES)] == []
-    numbered += [(1000 + i, t) for i, (_, t) in enumerate(ODD)] + [(2000, "." * 200_000), (2001, ". " * 100_000), (2002, "copyright " * 50_000), (2003, "the software is provided as is " * 3000), (2004, "\n*" * 100_000), (2005, "a\n" * 100_000)]
+    numbered += [(1000 + i, t) for i, (_, t) in enumerate(ODD)] + [(2000, "." * 200_000), (2001, ". " * 100_000), (2002, "copyright " * 50_000), (2003, "the software is provided as is " * 3000), (2004, "\n*" * 100_000), (2005, "a\n" * 100_000), (2006, "🙂" * 40 + "MIT License" + "я" * 70 + "Licensed under Ж the MIT License"), (2007, "I ❤ it.\n🙂🙂\nMIT License"), (2008, "ZL MIT License Z\nL")]
     got = rows_of(licenses.scan(table(spark, numbered)))
     c = duckdb.connect()
     c.register("documents", pa.table({"doc_id": [d for d, _ in numbered], "text": [t for _, t in numbered]}))
