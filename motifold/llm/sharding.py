@@ -3,7 +3,7 @@
 1. A narrow table (key, size, checksum) is staged; texts are read once.
 2. A size-weighted sample of keys is drawn. Its quantiles are the boundaries of many small ranges.
 3. Rows get their range by binary search; ranges that turn out overfull are subdivided with a
-   denser sample of their own rows.
+   sample of their own rows, twice as dense each time.
 4. A window in each range and the ranges' totals give each row its exact place in the order of
    keys, from which shards are cut.
 
@@ -21,7 +21,7 @@ from itertools import pairwise
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from .common import pick, stage
+from .common import pick, positional, release, stage
 
 KEY = ("h", "d", "tie")
 MAX_RANGES = 16_384
@@ -67,32 +67,38 @@ def _splitters(sample: list, parts: int) -> list[tuple[int, int, int]]:
     return out
 
 
-def range_shards(
-    docs: DataFrame, shards: int = 16, law: str = "bytes", ranges: int = 1024, rows_a_range: int = 50_000,
-    samples_a_range: int = 16, whole_group: float = 0.01, seed: int = 7,
-) -> DataFrame:
+def range_shards(docs: DataFrame, shards: int = 16, law: str = "bytes", **tuning) -> DataFrame:
     """Deal documents into `shards` contiguous ranges of the key.
 
     law: `bytes`: shards' sizes differ by little; `rows`: shards' counts differ by one at most.
     size: UTF-8 bytes of the text plus 1; a null text counts as an empty one. Under `bytes`, a cut that
     falls within a group of equal texts moves to the group's edge if the group holds at most
-    `whole_group` of a shard; a larger group is cut between two of its rows.
+    `whole_group` of a shard; a larger group is cut between two of its rows, as shards would differ else.
     An empty table gives an empty one. Rows that are repeated, ids that are null and ids that occur
-    more than once each keep their own row and slot. Other columns are ignored.
+    more than once each keep their own row and slot. Other columns are ignored. tuning: see deal().
     """
+    dealt = deal(pick(docs, "doc_id", "text").withColumn("tie", F.monotonically_increasing_id()), shards, law, **tuning)
+    return dealt.drop("tie")
+
+
+def deal(
+    numbered: DataFrame, shards: int = 16, law: str = "bytes", ranges: int = 1024, rows_a_range: int = 50_000,
+    samples_a_range: int = 16, whole_group: float = 0.01, seed: int = 7,
+) -> DataFrame:
+    """Of (doc_id, text, tie): the columns of SCHEMA, and tie, which tells rows apart. What is read of the texts is read once."""
     if law not in ("bytes", "rows"):
         raise ValueError(f"no such law: {law}")
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = stage(
-        pick(docs, "doc_id", "text").select(
+        numbered.select(
             "doc_id", (F.octet_length(text) + 1).cast("bigint").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"),
-            F.xxhash64(text).alias("h"), F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(1 << 63))).alias("d"), F.monotonically_increasing_id().alias("tie"),
+            F.xxhash64(text).alias("h"), F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(1 << 63))).alias("d"), "tie",
         )
     )
     weight = F.col("size") if law == "bytes" else F.lit(1).cast("bigint")
     n, total = rows.agg(F.count("*"), F.sum(weight)).first()
     if not n:
-        return docs.sparkSession.createDataFrame([], SCHEMA)
+        return numbered.sparkSession.createDataFrame([], SCHEMA + ", tie bigint")
 
     parts = min(MAX_RANGES, max(ranges, n // rows_a_range))
     bounds = _splitters(_sample(rows, weight, parts * samples_a_range / total, seed), parts)
@@ -104,7 +110,7 @@ def range_shards(
             break
         inner = placed.where(F.array_contains(_longs(sorted(over)), F.col("r").cast("bigint")))
         found: dict[int, list] = {r: [] for r in over}
-        for key, w in _sample(inner, weight, parts * samples_a_range / total, seed + again):
+        for key, w in _sample(inner, weight, (1 << again) * parts * samples_a_range / total, seed + again):
             found[bisect_right(bounds, key)].append((key, w))
         more = [key for r, own in found.items() for key in _splitters(own, int(over[r] * parts // total) + 1)]
         bounds = sorted({*bounds, *more})
@@ -121,7 +127,7 @@ def range_shards(
             "k": F.row_number().over(ordered).cast("bigint"),
         })
         .join(F.broadcast(near), "r")  # at most a row for each range
-        .select("doc_id", "size", "text_crc32", "h", (F.col("before") + F.col("upto") - weight).alias("g"), (F.col("before_n") + F.col("k") - 1).alias("rank"))
+        .select("doc_id", "size", "text_crc32", "h", "tie", (F.col("before") + F.col("upto") - weight).alias("g"), (F.col("before_n") + F.col("k") - 1).alias("rank"))
     )
 
     cuts = _cuts(exact, weight, total, shards, whole_group if law == "bytes" else 0.0)
@@ -131,7 +137,7 @@ def range_shards(
     begins = F.get(_longs([first.get(i, 0) for i in range(shards)]), F.col("shard"))
     return dealt.select(
         "doc_id", "size", F.col("text_crc32").cast("bigint").alias("text_crc32"), F.lit(law).alias("law"), "shard",
-        (F.col("rank") - begins).alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
+        (F.col("rank") - begins).alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "tie",
     )
 
 
@@ -162,10 +168,21 @@ def _cuts(exact: DataFrame, weight: Column, total: int, shards: int, whole_group
     return out
 
 
-def write_shards(docs: DataFrame, dealt: DataFrame, path: str) -> None:
-    """Write the documents as one folder of files for each shard, ordered by slot within a file."""
-    joined = docs.join(dealt.select("doc_id", "shard", "slot"), "doc_id")
-    joined.repartition("shard", F.floor(F.col("slot") / 100_000)).sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+def write_shards(docs: DataFrame, path: str, shards: int = 16, law: str = "bytes", rows_a_file: int = 100_000, **tuning) -> None:
+    """Write the documents, all columns, as one folder of Parquet files for each shard (shard=0, ...), in the order of their slots.
+
+    The rows are numbered and written to the shared folder first, then dealt, then joined by their number, so
+    each one is written once, whatever its id: ids that are null or repeated and rows that are repeated, too.
+    Texts that are null stay null. An empty table gives an empty folder. A column named `shard` is written as `shard_`.
+    """
+    plain, name = positional(docs)
+    numbered = stage(plain.withColumn("tie", F.monotonically_increasing_id()))
+    dealt = deal(numbered.select(F.col(name["doc_id"]).alias("doc_id"), F.col(name["text"]).alias("text"), "tie"), shards, law, **tuning)
+    joined = numbered.join(dealt.select("tie", "shard", "slot"), "tie")
+    file = F.call_function("div", F.col("slot"), F.lit(rows_a_file))
+    out = joined.repartition("shard", file).sortWithinPartitions("shard", "slot").select(*plain.columns, "shard")
+    out.toDF(*(f"{c}_" if c == "shard" else c for c in docs.columns), "shard").write.partitionBy("shard").parquet(path)
+    release(numbered)
 
 
 def op6_sharding(spark, sf_dir: str) -> DataFrame:

@@ -555,6 +555,19 @@ def test_overfull_ranges_are_subdivided(spark):
     assert len(sums) == 16 and max(sums.values()) - min(sums.values()) <= 20
 
 
+def test_written_shards_hold_each_row_once(spark, tmp_path):
+    """Repeated and null ids, repeated rows, null texts and a shuffled input."""
+    rows = [(i % 40 if i % 5 else None, None if i % 11 == 0 else f"text {i % 60} " * (i % 9)) for i in range(400)] + [(1, "x")] * 3
+    docs = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id bigint, text string, n int").repartition(5, F.rand())
+    sharding.write_shards(docs, str(tmp_path / "out"), 8, "rows", rows_a_file=20)
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert rows_of(back.select("n", "doc_id", "text")) == sorted(((i, *r) for i, r in enumerate(rows)), key=str)
+    sizes = Counter(r.shard for r in back.collect())
+    assert sorted(sizes) == list(range(8)) and max(sizes.values()) - min(sizes.values()) <= 1
+    sharding.write_shards(docs.where("false").withColumn("shard", F.lit("s")), str(tmp_path / "none"))
+    assert not list((tmp_path / "none").glob("shard=*"))
+
+
 # 7
 
 
