@@ -21,6 +21,11 @@ def intersection_size(a: Column, b: Column) -> Column:
     return F.size(F.array_intersect(a, b)).cast("bigint")
 
 
+def any_member(a: Column, test) -> Column:
+    """Whether `test` holds for a member; those behind it aren't looked at."""
+    return F.exists(a, test)
+
+
 def merge(*sets: Column) -> Column:
     """Disjoint sorted sets, merged."""
     return F.sort_array(F.concat(*sets))

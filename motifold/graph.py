@@ -54,10 +54,18 @@ class Graph:
         return replace(self, edges=self.edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), *rest))
 
     def adjacency(self, incoming: bool = False) -> DataFrame:
-        """(id, nbrs, degree): sorted distinct neighbours of each node that has any."""
+        """(id, nbrs, degree): sorted distinct neighbours of each node that has any.
+
+        A list is one value, so it has to fit a task; where hubs have more neighbours, adjacency_blocks() has them all.
+        """
         edges = self.reversed().edges if incoming else self.edges
         return edges.groupBy(F.col("src").alias("id")).agg(F.sort_array(F.collect_set("dst")).alias("nbrs")).withColumn("degree", F.size("nbrs").cast("bigint"))
 
+    def adjacency_blocks(self, bits: int = 16, incoming: bool = False) -> DataFrame:
+        """(id, block, nbrs): sorted distinct neighbours, in blocks of 2**bits values, which bounds a row whatever the degree."""
+        edges = self.reversed().edges if incoming else self.edges
+        return edges.groupBy(F.col("src").alias("id"), F.shiftright("dst", bits).alias("block")).agg(F.sort_array(F.collect_set("dst")).alias("nbrs"))
+
     def degrees(self, incoming: bool = False) -> DataFrame:
         """(id, degree), without building neighbour lists."""
         return self.edges.groupBy(F.col("dst" if incoming else "src").alias("id")).agg(F.count("*").alias("degree"))

@@ -6,12 +6,13 @@ partition, and shifted by the sizes of the partitions before, so no task sees al
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..graph import Graph
 from ..plans.lineage import cut
 from .components import components
-from .traversal import bfs_levels
 
 
 def numbered(rows: DataFrame, *order: Column) -> DataFrame:
@@ -67,25 +68,34 @@ def component_roots(graph: Graph) -> DataFrame:
 
 
 def by_bfs(graph: Graph, root: int | None = None) -> DataFrame:
-    """Component by component, each by distance from its smallest node (`root` in its own), then id; root's comes first."""
+    """Breadth-first order, component by component, each from its smallest node (`root` in its own, which comes first).
+
+    Within a level, nodes stand in the order of the first node that leads to them, as a queue would have them, then
+    by id. All components go a level at a time together.
+    """
     roots = component_roots(graph)
     if root is not None:
         home = roots.where(F.col("id") == root).select("root").first()
         if home is None:
             raise ValueError(f"no such node: {root}")
         roots = roots.withColumn("root", F.when(F.col("root") == home.root, root).otherwise(F.col("root")))
+    roots = cut(roots.withColumn("later", F.lit(False) if root is None else F.col("root") != root))
     links = cut(graph.edges.select("src", "dst"))
-    seen = front = cut(roots.where("id = root").select("id", F.lit(0).cast("bigint").alias("level")))
-    while True:
-        near = links.join(front.select(F.col("id").alias("src"), "level"), "src").groupBy(F.col("dst").alias("id")).agg((F.min("level") + 1).alias("level"))
-        front = cut(near.join(seen.select("id"), "id", "left_anti"))
-        if front.isEmpty():
-            break
-        seen = cut(seen.union(front))
-    first = F.lit(False) if root is None else F.col("root") != root
+    front = numbered(roots.where("id = root"), F.asc("later"), F.asc("root")).withColumn("level", F.lit(0))
+    levels = []
+    while not front.isEmpty():
+        levels.append(front.select("id", "later", "root", "level", "new"))
+        seen = reduce(DataFrame.union, (x.select("id") for x in levels))
+        near = links.join(front.select(F.col("id").alias("src"), F.struct("new", "root", "later").alias("by")), "src")
+        near = near.groupBy(F.col("dst").alias("id")).agg(F.min("by").alias("by")).join(seen, "id", "left_anti")
+        near = near.select("id", "by.later", "by.root", F.col("by.new").alias("parent"))
+        front = numbered(near, F.asc("parent"), F.asc("id")).withColumn("level", F.lit(len(levels)))
+    if not levels:
+        return graph.edges.sparkSession.createDataFrame([], "old bigint, new bigint")
+    found = reduce(DataFrame.union, levels).withColumnRenamed("new", "pos")
     # nodes that are only reached against the direction of edges come last in their component
-    rows = roots.join(seen, "id", "left").select("id", "root", F.coalesce("level", F.lit(1 << 62)).alias("level"), first.alias("later"))
-    return _map(rows, F.asc("later"), F.asc("root"), F.asc("level"), F.asc("id"))
+    rows = roots.join(found.select("id", "level", "pos"), "id", "left").select("id", "root", "later", F.coalesce("level", F.lit(1 << 30)).alias("level"), F.coalesce("pos", F.lit(0)).alias("pos"))
+    return _map(rows, F.asc("later"), F.asc("root"), F.asc("level"), F.asc("pos"), F.asc("id"))
 
 
 def by_game(graph: Graph, root: int | None = None) -> DataFrame:
@@ -108,5 +118,3 @@ ORDERINGS = {
     "degree": by_degree, "rev_degree": by_reverse_degree, "bfs": by_bfs, "strong_run": by_strong_runs,
     "random": at_random, "shingles": by_shingles, "game": by_game,
 }
-
-__all__ = ["ORDERINGS", "bfs_levels", "numbered", "relabel"]

@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.sets import prefixes
 from ..graph import Graph
-from .ordering import numbered
+from ..plans.lineage import cut
 
 
 def set_table(graph: Graph) -> DataFrame:
@@ -16,35 +15,51 @@ def set_table(graph: Graph) -> DataFrame:
     return sets.withColumn("density", F.when(F.col("card") > 1, density))
 
 
-def _upper_median(rows: DataFrame, value: str, n: int) -> float | None:
-    got = numbered(rows.select(value, "id"), F.asc_nulls_first(value), F.asc("id")).where(F.col("new") == n // 2).select(value).first()
-    return got[0] if got else None
+#: Classes of values that come to the driver at a time; classes of densities.
+CLASSES, DENSITIES = 1024, 10_000
+
+
+def _kth(rows: DataFrame, value: str, k: int, low: float, high: float):
+    """The value that k others come before, by counts in classes of equal width that get narrower."""
+    v = F.col(value)
+    while low < high:
+        at = F.least(F.floor((v - F.lit(low)) * (CLASSES / (high - low))), F.lit(CLASSES - 1))
+        found = rows.where((v >= low) & (v <= high)).groupBy(at.alias("at")).agg(F.count("*").alias("n"), F.min(v).alias("low"), F.max(v).alias("high"))
+        for r in sorted(found.collect(), key=lambda r: r.at):  # CLASSES rows at most
+            if k < r.n:
+                break
+            k -= r.n
+        low, high = r.low, r.high
+    return low
 
 
 def dataset_stats(graph: Graph, n_nodes: int | None = None) -> DataFrame:
     """One row. Means and variances are over all nodes (`n_nodes`, or those with neighbours); a median is the
     upper one; a mode is the most frequent value, of equals the smallest; densities count from two members on,
     and as 0 below, and their mode is over 10,000 equal classes. An empty graph gives zeros.
+
+    The table of sets is written once; sums, modes and medians read its three numbers.
     """
     spark = graph.edges.sparkSession
-    rows = set_table(graph).withColumn("density", F.coalesce("density", F.lit(0.0)))
+    rows = cut(set_table(graph).select("card", "span", F.coalesce("density", F.lit(0.0)).alias("density")))
     names = "n_sets bigint, avg_card double, max_card bigint, avg_span double, max_span bigint, avg_density double, median_card double, median_density double, mode_card bigint, mode_density double, var_card double, var_density double, skew1_card double, skew2_card double, skew1_density double, skew2_density double, dense_sets bigint"
-    first = rows.agg(F.count("*").alias("n"), F.sum("card").alias("card"), F.max("card").alias("max_card"), F.sum("span").alias("span"), F.max("span").alias("max_span"), F.sum("density").alias("density")).first()
-    if not first.n:
-        return spark.createDataFrame([(0, 0.0, 0, 0.0, 0, 0.0, 0.0, 0.0, 0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0)], names)
-    n = n_nodes or first.n
-    card, density = first.card / n, first.density / n
     dense = (F.col("card") > 1) & (F.col("span") > 0) & (F.col("card") * 256 > F.col("span"))
-    second = rows.agg(F.sum(F.pow(F.col("card") - card, F.lit(2))).alias("c"), F.sum(F.pow(F.col("density") - density, F.lit(2))).alias("d"), F.count(F.when(dense, 1)).alias("dense")).first()
+    ends = [f(c).alias(f"{n}_{c}") for c in ("card", "density") for n, f in (("min", F.min), ("max", F.max), ("sum", F.sum), ("var", F.var_pop))]
+    got = rows.agg(F.count("*").alias("n"), *ends, F.sum("span").alias("span"), F.max("span").alias("max_span"), F.count(F.when(dense, 1)).alias("dense")).first()
+    if not got.n:
+        return spark.createDataFrame([(0, 0.0, 0, 0.0, 0, 0.0, 0.0, 0.0, 0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0)], names)
+    n = n_nodes or got.n
+    card, density = got.sum_card / n, got.sum_density / n
     mode = lambda c: rows.groupBy(c.alias("v")).agg(F.count("*").alias("k")).orderBy(F.desc("k"), "v").first().v
-    mode_card, mode_density = mode(F.col("card")), mode(F.floor(F.col("density") * 10_000)) / 10_000
-    med_card, med_density = float(_upper_median(rows, "card", first.n)), _upper_median(rows, "density", first.n)
-    vc, vd = second.c / n, second.d / n
+    mode_card, mode_density = mode(F.col("card")), mode(F.floor(F.col("density") * DENSITIES)) / DENSITIES
+    med_card, med_density = (_kth(rows, c, got.n // 2, got[f"min_{c}"], got[f"max_{c}"]) for c in ("card", "density"))
+    # squares around the mean over n, from those around the mean over the rows
+    vc, vd = ((got[f"var_{c}"] + (got[f"sum_{c}"] / got.n - mean) ** 2) * got.n / n for c, mean in (("card", card), ("density", density)))
     skew = lambda mean, other, v: 3 * (mean - other) / v**0.5 if v > 0 else 0.0
     r = lambda x: round(float(x), 6)
     row = (
-        first.n, r(card), first.max_card, r(first.span / n), first.max_span, r(density), r(med_card), r(med_density), mode_card, r(mode_density), r(vc), r(vd),
-        r(skew(card, mode_card, vc)), r(skew(card, med_card, vc)), r(skew(density, mode_density, vd)), r(skew(density, med_density, vd)), second.dense,
+        got.n, r(card), got.max_card, r(got.span / n), got.max_span, r(density), r(med_card), r(med_density), mode_card, r(mode_density), r(vc), r(vd),
+        r(skew(card, mode_card, vc)), r(skew(card, med_card, vc)), r(skew(density, mode_density, vd)), r(skew(density, med_density, vd)), got.dense,
     )
     return spark.createDataFrame([row], names)
 
@@ -59,5 +74,3 @@ def block_counts(graph: Graph, bits: int = 16) -> DataFrame:
     """(id, blocks): blocks of 2**bits values that each node's neighbours fall into."""
     return graph.edges.groupBy(F.col("src").alias("id")).agg(F.countDistinct(F.shiftright("dst", bits)).alias("blocks"))
 
-
-__all__ = ["block_counts", "dataset_stats", "multiply", "prefixes", "set_table"]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, functions as F
 
 from ..graph import Graph
@@ -25,16 +27,15 @@ def bfs_levels(graph: Graph, start: int | None = None, limit: int = UNBOUNDED) -
         graph.require(start)
     links = cut(graph.edges.select("src", "dst"))
     front = spark.createDataFrame([(start, 0)], "id bigint, level bigint")
-    seen = front
-    level = 0
-    while level < limit:
-        level += 1
+    levels = [front]  # each is written once
+    while len(levels) <= limit:
         near = links.join(front.select(F.col("id").alias("src")), "src").select(F.col("dst").alias("id")).distinct()
-        front = cut(near.join(seen.select("id"), "id", "left_anti").withColumn("level", F.lit(level).cast("bigint")))
+        seen = reduce(DataFrame.union, (x.select("id") for x in levels))
+        front = cut(near.join(seen, "id", "left_anti").withColumn("level", F.lit(len(levels)).cast("bigint")))
         if front.isEmpty():
             break
-        seen = cut(seen.union(front))
-    return seen
+        levels.append(front)
+    return reduce(DataFrame.union, levels)
 
 
 def path_length(graph: Graph, start: int | None = None, limit: int = UNBOUNDED) -> DataFrame:

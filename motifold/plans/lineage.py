@@ -32,6 +32,15 @@ def _path(spark: SparkSession, name: str):
     return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new path in the shared folder; what is written there goes when the driver ends, or by sweep()."""
+    root = f"{shared_dir(spark)}/motifold-{spark.sparkContext.applicationId}"
+    path, files = _path(spark, root)
+    files.mkdirs(path)
+    files.deleteOnExit(path)
+    return f"{root}/{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write a table to the shared folder and read it again.
 
@@ -39,12 +48,9 @@ def cut(df: DataFrame) -> DataFrame:
     when the driver ends, or before by release() or sweep().
     """
     spark = df.sparkSession
-    root = f"{shared_dir(spark)}/motifold-{spark.sparkContext.applicationId}"
-    name = f"{root}/{uuid.uuid4().hex}"
+    name = scratch(spark)
     # rows can be large: small row groups, whose size is looked at often, keep writers and readers small
     df.write.options(**{"compression": "zstd", "parquet.block.size": str(ROW_GROUP), "parquet.block.size.row.check.min": "8", "parquet.page.size.row.check.min": "8"}).parquet(name)
-    path, files = _path(spark, root)
-    files.deleteOnExit(path)
     out = spark.read.schema(df.schema).parquet(name)
     out.written_to = name
     return out

@@ -2,27 +2,106 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from functools import reduce
+
+from pyspark.sql import DataFrame, functions as F
 
 from .functions import sets
+from .graph import Graph
 from .operators import ordering, patterns, similarity, stats, traversal
-from .sources import projections as P, sinks
+from .plans import lineage
+from .plans.orient import by_degree
+from .sources import files, projections as P, sinks
 
 YEAR = 1996
 
 
 def _pairs(what):
-    """(src, dst, n) of a set operation on the neighbours of both ends of each edge src < dst."""
+    """(src, dst, n) for each edge src < dst, of the number of common neighbours and the degrees of both ends."""
 
     def run(spark, sf_dir):
         g = P.parts(spark, sf_dir)
-        adj = g.adjacency()
-        a, b = adj.select(F.col("id").alias("src"), F.col("nbrs").alias("na")), adj.select(F.col("id").alias("dst"), F.col("nbrs").alias("nb"))
-        return g.edges.where("src < dst").join(a.hint("merge"), "src").join(b.hint("merge"), "dst").select("src", "dst", F.size(what(F.col("na"), F.col("nb"))).cast("bigint").alias("n"))
+        rows = patterns.edge_triangles(by_degree(g.edges)).select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), "t")
+        degree = g.degrees()
+        rows = rows.join(degree.toDF("src", "ds"), "src").join(degree.toDF("dst", "dd"), "dst")
+        return rows.select("src", "dst", what(F.col("t"), F.col("ds"), F.col("dd")).alias("n"))
 
     return run
 
 
+def _set_strategies(spark, sf_dir):
+    """Sets of successors of each node and the next one: sizes of their algebra, by arrays, by a join and by bitmaps."""
+    g = P.returned_parts(spark, sf_dir)
+    order = _dense(g)
+    pairs = order.toDF("a", "k").join(order.select(F.col("old").alias("b"), (F.col("new") - 1).alias("k")), "k").select("a", "b")
+    adj = g.adjacency()
+    rows = pairs.join(adj.select(F.col("id").alias("a"), F.col("nbrs").alias("na")), "a").join(adj.select(F.col("id").alias("b"), F.col("nbrs").alias("nb")), "b")
+    na, nb = F.col("na"), F.col("nb")
+    first = F.array_min(nb)
+    rows = rows.select("a", "b", sets.intersection_size(na, nb).alias("n_array"), F.size(sets.union(na, nb)).cast("bigint").alias("n_union"), F.size(sets.difference(na, nb)).cast("bigint").alias("n_only_a"), F.size(sets.merge(sets.difference(na, nb), nb)).cast("bigint").alias("n_merged"), sets.any_member(na, lambda x: x >= first).alias("reaches"))
+    edges = g.edges
+    joined = pairs.join(edges.toDF("a", "x"), "a").join(edges.toDF("b", "x"), ["b", "x"]).groupBy("a", "b").agg(F.count("*").alias("n_join"))
+    maps = sets.bitmap_overlap(pairs, sets.bitmaps(edges, "src", "dst"), "src").withColumnRenamed("n", "n_bitmap")
+    return rows.join(joined, ["a", "b"], "left").join(maps, ["a", "b"], "left").fillna(0, ["n_join", "n_bitmap"])
+
+
+def _synthetic_sets(spark, sf_dir):
+    """Synthetic sets, written and read as set files: the size of each, and of their common part by relations and by bitmaps."""
+    made = {"runs": files.random_set(spark, 4000, 20_000, 1, run=8), "even": files.random_set(spark, 4000, 20_000, 2), "skewed": files.skewed_set(spark, 1000, 5000, 10_000, 3)}
+    read = {}
+    for name, rows in made.items():
+        sinks.write_set(rows, path := lineage.scratch(spark))
+        read[name] = files.set_file(spark, path)
+    table = reduce(DataFrame.union, (rows.select(F.lit(name).alias("name"), "value") for name, rows in read.items()))
+    names = sorted(read)
+    pairs = spark.createDataFrame([(a, b) for a in names for b in names if a < b], "a string, b string")
+    mapped = sets.bitmap_overlap(pairs, sets.bitmaps(table, "name", "value"), "name").withColumnRenamed("n", "n_bitmap")
+    both = table.toDF("a", "value").join(table.toDF("b", "value"), "value").where("a < b").groupBy("a", "b").agg(F.count("*").alias("n_join"))
+    sizes = table.groupBy("name").agg(F.count("*").alias("n"), F.countDistinct("value").alias("d"))
+    out = both.join(mapped, ["a", "b"], "full").join(sizes.select(F.col("name").alias("a"), F.col("n").alias("size_a")), "a").join(sizes.select(F.col("name").alias("b"), F.col("n").alias("size_b")), "b")
+    return out.select("a", "b", "size_a", "size_b", "n_join", "n_bitmap")
+
+
+def _edge_list_files(directed):
+    def run(spark, sf_dir):
+        sinks.write_edge_list(Graph(P.returned_parts(spark, sf_dir).edges), path := lineage.scratch(spark))
+        return files.edge_list(spark, path, directed).edges
+
+    return run
+
+
+def _attribute_files(directed):
+    def run(spark, sf_dir):
+        g = P.dated_parts(spark, sf_dir)
+        sinks.write_edge_list(g if directed else Graph(g.edges.where("src < dst")), path := lineage.scratch(spark))
+        sinks.write_node_attributes(g.nodes, nodes := lineage.scratch(spark))
+        back = files.attribute_list(spark, path, nodes, directed)
+        return back.edges.join(back.nodes.toDF("src", "size"), "src").select("src", "dst", "attr", "size")
+
+    return run
+
+
+def _binary_files(directed):
+    def run(spark, sf_dir):
+        edges = P.returned_parts(spark, sf_dir).edges
+        g = Graph(edges, None, True) if directed else Graph.from_pairs(edges)
+        sinks.write_binary(g, path := lineage.scratch(spark))
+        return files.binary_adjacency(spark, path, directed).edges
+
+    return run
+
+
+def _row_dump(spark, sf_dir):
+    rows = sinks.row_dump(P.dated_parts(spark, sf_dir), 8)
+    one = F.transform("members", lambda x: F.concat_ws(":", x["id"].cast("string"), x["attr"].cast("string")))
+    return rows.select("side", "id", "node_attr", "degree", "block", F.array_join(one, ",").alias("members"))
+
+
+def _adjacency_blocks(spark, sf_dir):
+    rows = P.parts(spark, sf_dir).adjacency_blocks(8)
+    return rows.select("id", "block", F.size("nbrs").cast("bigint").alias("n"), F.array_join("nbrs", ",").alias("nbrs"))
+
+
 def _bitmap_overlap(spark, sf_dir):
     g = P.returned_parts(spark, sf_dir)
     maps = sets.bitmaps(g.edges, "src", "dst")
@@ -82,10 +161,10 @@ QUERIES = {
     "cliques_4": lambda s, d: patterns.cliques(P.parts(s, d), 4),
     "cliques_5": lambda s, d: patterns.cliques(P.parts(s, d), 5),
     "clique_list_3": lambda s, d: patterns.clique_list(P.parts(s, d), 3),
-    "clique_list_4": lambda s, d: patterns.clique_list(P.returned_graph(s, d), 4),
+    "clique_list_4": lambda s, d: patterns.clique_list(P.parts(s, d), 4),
     "lollipops": lambda s, d: patterns.lollipops(P.parts(s, d)),
     "tadpoles": lambda s, d: patterns.tadpoles(P.parts(s, d)),
-    "fish": lambda s, d: patterns.fish(P.returned_graph(s, d)),
+    "fish": lambda s, d: patterns.fish(P.parts(s, d)),
     "bfs_levels": _bfs,
     "path_length": lambda s, d: traversal.path_length(P.returned_parts(s, d)),
     "path_length_4": lambda s, d: traversal.path_length(P.returned_parts(s, d), limit=4),
@@ -101,9 +180,12 @@ QUERIES = {
     "max_degree_neighbours": _max_nbrs,
     "pruned_edges": lambda s, d: patterns.pruned(P.parts(s, d)),
     "attribute_filter": _filtered,
-    "common_neighbours": _pairs(sets.intersect),
-    "neighbour_union": _pairs(sets.union),
-    "neighbour_difference": _pairs(sets.difference),
+    "common_neighbours": _pairs(lambda t, a, b: t),
+    "neighbour_union": _pairs(lambda t, a, b: a + b - t),
+    "neighbour_difference": _pairs(lambda t, a, b: a - t),
+    "set_strategies": _set_strategies,
+    "synthetic_sets": _synthetic_sets,
+    "adjacency_blocks": _adjacency_blocks,
     "bitmap_overlap": _bitmap_overlap,
     "edges_union": _two_sets(sets.relation_union),
     "edges_intersect": _two_sets(sets.relation_intersect),
@@ -120,6 +202,13 @@ QUERIES = {
     "matrix_vector": _spmv,
     "block_counts": lambda s, d: stats.block_counts(P.parts(s, d), 8),
     "adjacency_file": lambda s, d: sinks.ligra_lines(P.returned_parts(s, d)),
+    "row_dump": _row_dump,
+    "edge_list_files": _edge_list_files(False),
+    "edge_list_files_directed": _edge_list_files(True),
+    "attribute_files": _attribute_files(False),
+    "attribute_files_directed": _attribute_files(True),
+    "binary_files": _binary_files(False),
+    "binary_files_directed": _binary_files(True),
 }
 
 
@@ -135,7 +224,6 @@ _R = "WHERE l_returnflag = 'R'"
 U = f"WITH RECURSIVE e AS MATERIALIZED ({_shared('l_partkey')}), "
 D = f"WITH RECURSIVE e AS MATERIALIZED ({_shared('l_partkey', True, _R)}), "
 S = f"WITH RECURSIVE e AS MATERIALIZED ({_shared('l_suppkey', True, _R)}), "
-RU = f"WITH RECURSIVE e AS MATERIALIZED ({_shared('l_partkey', False, _R)}), "
 A = f"""WITH RECURSIVE e AS MATERIALIZED (SELECT a.l_partkey AS src, b.l_partkey AS dst, MIN(year(a.l_shipdate)) AS attr
  FROM lineitem a JOIN lineitem b USING (l_orderkey) WHERE a.l_partkey <> b.l_partkey GROUP BY 1, 2), """
 _P = "p AS MATERIALIZED (SELECT src, dst FROM e WHERE dst < src), "
@@ -149,6 +237,12 @@ _C3 = _P + """pl AS MATERIALIZED (SELECT src AS id, list(dst) AS l FROM p GROUP
  c3 AS MATERIALIZED (SELECT v1, v2, v3, list_intersect(c, z.l) AS c FROM (SELECT v1, v2, c, unnest(c) AS v3 FROM c2) JOIN pl z ON z.id = v3), """
 _Q4 = _C3 + "q4 AS MATERIALIZED (SELECT v1, v2, v3, c, unnest(c) AS v4 FROM c3), "
 _LEVELS = _TOP + "b(id, level) AS (SELECT id, 0 FROM top UNION SELECT e.dst, b.level + 1 FROM b JOIN e ON e.src = b.id WHERE b.level < {limit}), l AS (SELECT id, MIN(level) AS level FROM b GROUP BY 1) "
+# breadth-first order as a queue gives it, from the smallest node; the part graph is connected
+_BFS = _DEG + """h AS (SELECT MIN(id) AS id FROM g),
+ v(id, level) AS (SELECT id, 0 FROM h UNION SELECT e.dst, v.level + 1 FROM v JOIN e ON e.src = v.id WHERE v.level < 40), l AS MATERIALIZED (SELECT id, MIN(level) AS level FROM v GROUP BY 1),
+ b(id, level, pos) AS (SELECT id, CAST(0 AS BIGINT), CAST(0 AS BIGINT) FROM h UNION ALL SELECT l.id, CAST(l.level AS BIGINT), ROW_NUMBER() OVER (ORDER BY MIN(b.pos), l.id)
+  FROM b JOIN e ON e.src = b.id JOIN l ON l.id = e.dst AND l.level = b.level + 1 GROUP BY l.id, l.level),
+ o AS (SELECT id, ROW_NUMBER() OVER (ORDER BY level, pos) - 1 AS new FROM b) """
 _REC = """d AS MATERIALIZED (SELECT src AS a, dst AS b, 1 AS o, 0 AS i FROM e UNION ALL SELECT dst, src, 0, 1 FROM e),
  d2 AS (SELECT a, b, MAX(o) AS o, MAX(i) AS i FROM d GROUP BY 1, 2),
  r AS (SELECT a AS id, CAST(SUM(o) AS BIGINT) AS out_deg, CAST(SUM(i) AS BIGINT) AS in_deg, CAST(SUM(o * i) AS BIGINT) AS "both" FROM d2 GROUP BY 1) """
@@ -170,15 +264,19 @@ ORACLE = {
     "cliques_4": U + _C3 + _ONE + "SELECT CAST(SUM(len(c)) AS BIGINT) AS n FROM c3",
     "cliques_5": U + _Q4 + _ONE + "SELECT CAST(SUM(len(list_intersect(c, w.l))) AS BIGINT) AS n FROM q4 JOIN pl w ON w.id = v4",
     "clique_list_3": U + _T + _ONE + "SELECT v1, v2, v3 FROM t",
-    "clique_list_4": RU + _Q4 + _ONE + "SELECT v1, v2, v3, v4 FROM q4",
+    "clique_list_4": U + _Q4 + _ONE + "SELECT v1, v2, v3, v4 FROM q4",
     "lollipops": U + _T + _DEG + "x AS (SELECT unnest([v1, v2, v3]) AS id FROM t) SELECT CAST(SUM(degree) AS BIGINT) AS n FROM x JOIN g USING (id)",
     "tadpoles": U + _DEG + """w AS MATERIALIZED (SELECT a.src AS x, b.dst AS z, COUNT(*) AS c, SUM(g.degree - 1) AS dd FROM e a JOIN e b ON a.dst = b.src JOIN g ON g.id = a.dst WHERE a.src <> b.dst GROUP BY 1, 2),
  s AS (SELECT e.src AS x, SUM(degree - 1) AS s FROM e JOIN g ON g.id = e.dst GROUP BY 1)
  SELECT CAST(SUM((c * (c - 1) // 2) * (s.s - CASE WHEN e.src IS NULL THEN 0 ELSE g.degree - 1 END) - (c - 1) * dd) AS BIGINT) AS n
  FROM w JOIN s USING (x) JOIN g ON g.id = w.z LEFT JOIN e ON e.src = w.x AND e.dst = w.z WHERE c >= 2""",
-    "fish": RU + _T + """y AS MATERIALIZED (SELECT unnest([v1, v2, v3]) AS x, unnest([v2, v1, v1]) AS y, unnest([v3, v3, v2]) AS z FROM t),
- k AS MATERIALIZED (SELECT w.src AS x, w.dst AS w, a.dst AS a, b.dst AS b FROM e w JOIN e a ON a.src = w.dst AND a.dst <> w.src JOIN e b ON b.src = a.dst AND b.dst < w.dst JOIN e c ON c.src = w.src AND c.dst = b.dst)
- SELECT COUNT(*) AS n FROM y JOIN k USING (x) WHERE w <> y AND w <> z AND a <> y AND a <> z AND b <> y AND b <> z""",
+    "fish": U + _T + """w AS MATERIALIZED (SELECT a.src AS x, b.dst AS z, COUNT(*) AS c FROM e a JOIN e b ON a.dst = b.src WHERE a.src <> b.dst GROUP BY 1, 2),
+ q AS MATERIALIZED (SELECT x, SUM(c * (c - 1) // 2) AS q FROM w GROUP BY 1),
+ m AS MATERIALIZED (SELECT a.src AS x, a.dst AS y, SUM(w.c - 1) AS p FROM e a JOIN e b ON b.src = a.dst AND b.dst <> a.src JOIN w ON w.x = a.src AND w.z = b.dst GROUP BY 1, 2),
+ o AS MATERIALIZED (SELECT e.src AS x, e.dst AS y, w.c, m.p FROM e JOIN w ON w.x = e.src AND w.z = e.dst JOIN m ON m.x = e.src AND m.y = e.dst),
+ k AS (SELECT unnest([v1, v2, v3]) AS x, unnest([v2, v1, v1]) AS y, unnest([v3, v3, v2]) AS z FROM t)
+ SELECT CAST(SUM(q - a.c * (a.c - 1) // 2 - b.c * (b.c - 1) // 2 - (a.p - (b.c - 1)) - (b.p - (a.c - 1)) + (d.c - 1)) AS BIGINT) AS n
+ FROM k JOIN q USING (x) JOIN o a ON a.x = k.x AND a.y = k.y JOIN o b ON b.x = k.x AND b.y = k.z JOIN o d ON d.x = k.y AND d.y = k.z""",
     "bfs_levels": D + _LEVELS.format(limit=40) + "SELECT CAST(level AS BIGINT) AS level, COUNT(*) AS n_nodes FROM l GROUP BY 1",
     "path_length": D + _LEVELS.format(limit=40) + "SELECT CAST(MAX(level) AS BIGINT) AS n FROM l",
     "path_length_4": D + _LEVELS.format(limit=4) + "SELECT CAST(MAX(level) AS BIGINT) AS n FROM l",
@@ -197,6 +295,19 @@ ORACLE = {
     "common_neighbours": _set_sizes(_COMMON),
     "neighbour_union": _set_sizes(f"len(a.nbrs) + len(b.nbrs) - {_COMMON}"),
     "neighbour_difference": _set_sizes(f"len(a.nbrs) - {_COMMON}"),
+    "set_strategies": D + _ADJ + """i AS (SELECT src AS id FROM e UNION SELECT dst FROM e), o AS MATERIALIZED (SELECT id, LEAD(id) OVER (ORDER BY id) AS b FROM i),
+ x AS (SELECT o.id AS a, o.b, l.nbrs AS na, r.nbrs AS nb, CAST(len(list_intersect(l.nbrs, r.nbrs)) AS BIGINT) AS n FROM o JOIN adj l ON l.id = o.id JOIN adj r ON r.id = o.b)
+ SELECT a, b, n AS n_array, n AS n_join, n AS n_bitmap, CAST(len(na) + len(nb) - n AS BIGINT) AS n_union, CAST(len(na) - n AS BIGINT) AS n_only_a, CAST(len(na) + len(nb) - n AS BIGINT) AS n_merged, list_max(na) >= list_min(nb) AS reaches FROM x""",
+    "adjacency_blocks": U + _ONE + "SELECT src AS id, dst >> 8 AS block, COUNT(*) AS n, array_to_string(list_sort(list(dst)), ',') AS nbrs FROM e GROUP BY 1, 2",
+    "row_dump": A + """n AS (SELECT p_partkey AS id, CAST(p_size AS BIGINT) AS node_attr FROM part), s AS (SELECT 'row' AS side, src AS id, dst AS o, attr FROM e UNION ALL SELECT 'column', dst, src, attr FROM e),
+ d AS (SELECT side, id, COUNT(*) AS degree FROM s GROUP BY 1, 2), l AS (SELECT side, id, o >> 8 AS block, string_agg(o || ':' || attr, ',' ORDER BY o) AS members FROM s GROUP BY 1, 2, 3)
+ SELECT side, id, node_attr, degree, block, members FROM l JOIN d USING (side, id) LEFT JOIN n USING (id)""",
+    "edge_list_files": D + _ONE + "SELECT src, dst FROM e UNION SELECT dst, src FROM e",
+    "edge_list_files_directed": D + _ONE + "SELECT src, dst FROM e",
+    "attribute_files": A + "u AS (SELECT src, dst, attr FROM e WHERE src < dst UNION ALL SELECT dst, src, attr FROM e WHERE src < dst) SELECT src, dst, attr, CAST(p_size AS BIGINT) AS size FROM u JOIN part ON p_partkey = src",
+    "attribute_files_directed": A + _ONE + "SELECT src, dst, attr, CAST(p_size AS BIGINT) AS size FROM e JOIN part ON p_partkey = src",
+    "binary_files": D + _ONE + "SELECT src, dst FROM e UNION SELECT dst, src FROM e",
+    "binary_files_directed": D + _ONE + "SELECT src, dst FROM e",
     "bitmap_overlap": D + _ONE + "SELECT e.src, e.dst, COUNT(*) AS n FROM e JOIN e a ON a.src = e.src JOIN e b ON b.src = e.dst AND b.dst = a.dst GROUP BY 1, 2",
     "edges_union": D + _ONE + "SELECT src, dst FROM e UNION SELECT dst, src FROM e",
     "edges_intersect": D + _ONE + "SELECT src, dst FROM e INTERSECT SELECT dst, src FROM e",
@@ -206,6 +317,8 @@ ORACLE = {
     "order_random": _order(U + _DEG + "w AS (SELECT * FROM g) ", "md5('0:' || id), id"),
     "order_strong_run": _order(U + _DEG + "k AS (SELECT id, ROW_NUMBER() OVER (ORDER BY degree DESC, id) AS r FROM g), w AS (SELECT e.dst AS id, MIN(r) AS r FROM e JOIN k ON k.id = e.src GROUP BY 1) ", "r, id"),
     "order_shingles": _order(U + "w AS (SELECT src AS id, MIN(md5('1:' || dst)) AS h1, MIN(md5('2:' || dst)) AS h2 FROM e GROUP BY 1) ", "h1, h2, id"),
+    "order_bfs": U + _BFS + "SELECT id AS old, new FROM o",
+    "order_game": U + _BFS + "SELECT id AS old, ROW_NUMBER() OVER (ORDER BY degree DESC, new) - 1 AS new FROM o JOIN g USING (id)",
     "relabelled_edges": D + "i AS (SELECT src AS id FROM e UNION SELECT dst FROM e), m AS (SELECT id, ROW_NUMBER() OVER (ORDER BY id) - 1 AS k FROM i) SELECT a.k AS src, b.k AS dst FROM e JOIN m a ON a.id = e.src JOIN m b ON b.id = e.dst",
     "matrix_vector": A + _ONE + "SELECT src AS id, CAST(SUM(attr * p_size) AS BIGINT) AS value FROM e JOIN part ON p_partkey = dst GROUP BY 1",
     "block_counts": U + _ONE + "SELECT src AS id, COUNT(DISTINCT dst >> 8) AS blocks FROM e GROUP BY 1",

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import struct
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..graph import Graph
@@ -12,9 +13,14 @@ from ..graph import Graph
 BETWEEN, BETWEEN_ATTRIBUTES = r"[ \tA]+", r"[ \tA|]+"
 
 
+def _place() -> Column:
+    """Orders the lines of files: by the file's name, the split within it, and the line within that."""
+    return F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("line"))
+
+
 def _fields(spark: SparkSession, path: str, between: str, n: int) -> DataFrame:
     """(f0, ..., pos): the first n fields of each line, null where a line has fewer, and the line's place."""
-    lines = spark.read.text(path).withColumn("pos", F.monotonically_increasing_id())
+    lines = spark.read.text(path).withColumn("pos", _place())
     parts = F.filter(F.split("value", between, -1), lambda x: F.length(x) > 0)
     return lines.select(parts.alias("x"), "pos").select(*(F.get("x", F.lit(i)).alias(f"f{i}") for i in range(n)), "pos")
 
@@ -93,19 +99,41 @@ def binary_adjacency(spark: SparkSession, path: str, directed: bool = False) ->
 
 
 def parquet_graph(spark: SparkSession, path: str, directed: bool = False) -> Graph:
-    """The edges written by sinks.write_parquet()."""
-    return Graph(spark.read.parquet(f"{path}/edges"), None, directed)
+    """The edges, and the nodes if there are any, written by sinks.write_parquet()."""
+    try:
+        nodes = spark.read.parquet(f"{path}/nodes")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        nodes = None
+    return Graph(spark.read.parquet(f"{path}/edges"), nodes, directed)
 
 
 def set_file(spark: SparkSession, path: str) -> DataFrame:
-    """(value) of a file that has the number of values and then the values, one to a line."""
-    rows = spark.read.text(path).withColumn("pos", F.monotonically_increasing_id())
-    return rows.where("pos > 0").select(F.col("value").cast("bigint").alias("value"))
+    """(value) of a file, or part files that are one, that has the number of values and then the values, one to a line.
 
-
-def random_set(spark: SparkSession, n: int, top: int, seed: int = 0) -> DataFrame:
-    """(value): about n distinct values below `top`, evenly spread."""
-    return spark.range(n).select(F.floor(F.rand(seed) * top).alias("value")).distinct()
+    A number that isn't that of the values is an error.
+    """
+    rows = spark.read.text(path).withColumn("pos", _place())
+    head = rows.orderBy("pos").limit(1).first()
+    if head is None:
+        raise ValueError(f"no number of values in {path}")
+    values = rows.where((F.col("pos.file") != head.pos.file) | (F.col("pos.start") != head.pos.start) | (F.col("pos.line") != head.pos.line)).where(F.length(F.trim("value")) > 0).select(F.trim("value").cast("bigint").alias("value"))
+    n = values.count()
+    if n != int(head.value):
+        raise ValueError(f"{path} says that it has {head.value} values, but has {n}")
+    return values
+
+
+def random_set(spark: SparkSession, n: int, top: int, seed: int = 0, run: int = 1) -> DataFrame:
+    """(value): about n distinct values from 0 on, in runs of `run` consecutive ones that begin below `top`, evenly spread."""
+    starts = spark.range(-(-n // run)).select(F.floor(F.rand(seed) * top).alias("value"))
+    return starts.select(F.explode(F.sequence("value", F.col("value") + (run - 1))).alias("value")).distinct()
+
+
+def skewed_set(spark: SparkSession, n: int, top: int, dense: int = 500_000, seed: int = 0) -> DataFrame:
+    """(value): about n distinct values below `top`, evenly spread, and all of the `dense` ones from `top` on."""
+    return random_set(spark, n, top, seed).union(spark.range(top, top + dense).toDF("value"))
 
 
 def random_graph(spark: SparkSession, nodes: int, edges: int, seed: int = 0) -> Graph:

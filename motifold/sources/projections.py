@@ -31,11 +31,6 @@ def returned_parts(spark: SparkSession, sf_dir: str) -> Graph:
     return Graph(_shared(spark, sf_dir, "l_partkey", F.col("l_returnflag") == "R", True).select("src", "dst").distinct(), None, True)
 
 
-def returned_graph(spark: SparkSession, sf_dir: str) -> Graph:
-    """Undirected: parts in one order, both returned; sparse enough for the largest patterns."""
-    return Graph(_shared(spark, sf_dir, "l_partkey", F.col("l_returnflag") == "R").select("src", "dst").distinct())
-
-
 def returned_suppliers(spark: SparkSession, sf_dir: str) -> Graph:
     """Directed: the same for suppliers."""
     return Graph(_shared(spark, sf_dir, "l_suppkey", F.col("l_returnflag") == "R", True).select("src", "dst").distinct(), None, True)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import struct
+from functools import reduce
+
 from pyspark.sql import DataFrame, functions as F
 
 from ..graph import Graph
@@ -9,11 +12,67 @@ from ..operators.ordering import numbered
 
 
 def write_parquet(graph: Graph, path: str) -> None:
-    """Edges, and adjacency lists as the layout that is ready for set operations."""
+    """Edges, nodes where there are any, and neighbours in blocks, the layout that is ready for set operations."""
     graph.edges.write.parquet(f"{path}/edges")
-    graph.adjacency().write.parquet(f"{path}/out")
+    graph.adjacency_blocks().write.parquet(f"{path}/out")
     if graph.directed:
-        graph.adjacency(incoming=True).write.parquet(f"{path}/in")
+        graph.adjacency_blocks(incoming=True).write.parquet(f"{path}/in")
+    if graph.nodes is not None:
+        graph.nodes.write.parquet(f"{path}/nodes")
+
+
+def write_edge_list(graph: Graph, path: str) -> None:
+    """Lines `src dst`, or `src dst attr`."""
+    names = [c for c in ("src", "dst", "attr") if c in graph.edges.columns]
+    graph.edges.select(F.concat_ws(" ", *names).alias("value")).write.text(path)
+
+
+def write_node_attributes(nodes: DataFrame, path: str) -> None:
+    """Lines `id attr`."""
+    nodes.select(F.concat_ws(" ", "id", "attr").alias("value")).write.text(path)
+
+
+def write_binary(graph: Graph, path: str, buffer: int = 1 << 22) -> None:
+    """One file as files.binary_adjacency() reads it, for interchange.
+
+    The format is one sequence, so the driver writes it as a stream: nodes come in order, a block of neighbours at a
+    time, and at most `buffer` bytes wait. Parquet is the format for large graphs.
+    """
+    spark = graph.edges.sparkSession
+    index = numbered(graph.node_table().select("id"), F.asc("id"))
+    place = index.select("id", F.col("new").alias("at"))
+    ends = graph.edges.select("src", "dst").join(place.toDF("src", "a"), "src").join(place.toDF("dst", "b"), "dst").select("a", "b")
+    sides = [ends.toDF("at", "other"), ends.toDF("other", "at").select("at", "other")][: 1 + graph.directed]
+    rows = index.select(F.col("new").alias("at"), "id")
+    for i, side in enumerate(sides):
+        rows = rows.join(side.groupBy("at").agg(F.count("*").alias(f"n{i}")), "at", "left")
+    heads = rows.select("at", F.lit(0).alias("list"), F.lit(-1).cast("bigint").alias("block"), F.array("id", *(F.coalesce(f"n{i}", F.lit(0)) for i in range(len(sides)))).alias("x"))
+    for i, side in enumerate(sides):
+        heads = heads.union(side.groupBy("at", F.lit(i).alias("list"), F.shiftright("other", 16).alias("block")).agg(F.sort_array(F.collect_list("other")).alias("x")))
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(target, True)
+    try:
+        held = bytearray(struct.pack("=Q", index.count()))
+        sizes: list[int] = []
+        begun = 0
+        # a list's length stands before it, so those of a node are put in as its lists begin
+        for r in heads.orderBy("at", "list", "block").toLocalIterator(prefetchPartitions=True):
+            if r.block < 0:
+                held += b"".join(struct.pack("=Q", n) for n in sizes[begun:])
+                held += struct.pack("=Q", r.x[0])
+                sizes, begun = r.x[1:], 0
+            else:
+                while begun <= r.list:
+                    held += struct.pack("=Q", sizes[begun])
+                    begun += 1
+                held += struct.pack(f"={len(r.x)}I", *r.x)
+            if len(held) > buffer:
+                out.write(held)
+                held = bytearray()
+        held += b"".join(struct.pack("=Q", n) for n in sizes[begun:])
+        out.write(held)
+    finally:
+        out.close()
 
 
 def offsets(graph: Graph) -> DataFrame:
@@ -52,9 +111,30 @@ def write_ligra(graph: Graph, path: str) -> None:
     ligra_lines(graph).orderBy("part", "pos", "next").select("value").write.text(path)
 
 
+def row_dump(graph: Graph, bits: int = 16) -> DataFrame:
+    """(side, id, node_attr, degree, block, members): rows, and of directed graphs columns; each in blocks of 2**bits values.
+
+    members: sorted structs (id, attr) of the neighbours; attributes are null where the graph has none.
+    """
+    attr = F.col("attr") if "attr" in graph.edges.columns else F.lit(None).cast("bigint")
+    nodes = graph.node_table().select("id", F.col("attr").alias("node_attr") if graph.nodes is not None else F.lit(None).cast("bigint").alias("node_attr"))
+    out = []
+    for side, g in (("row", graph), ("column", graph.reversed()))[: 1 + graph.directed]:
+        lists = g.edges.groupBy(F.col("src").alias("id"), F.shiftright("dst", bits).alias("block")).agg(F.sort_array(F.collect_list(F.struct(F.col("dst").alias("id"), attr.alias("attr")))).alias("members"))
+        out.append(lists.join(g.degrees(), "id").join(nodes, "id", "left").select(F.lit(side).alias("side"), "id", "node_attr", "degree", "block", "members"))
+    return reduce(DataFrame.union, out)
+
+
 def write_rows(graph: Graph, path: str) -> None:
-    """Neighbour lists by id, as JSON lines."""
-    graph.adjacency().orderBy("id").write.json(path)
+    """row_dump() as JSON lines: rows by id and block, then columns."""
+    row_dump(graph).orderBy(F.desc("side"), "id", "block").write.json(path)
+
+
+def write_set(values: DataFrame, path: str) -> None:
+    """The number of values, then the values (value) in order, one to a line; part files that are one file, one after the other."""
+    lines = values.select(F.lit(1).alias("part"), F.col("value").cast("bigint").alias("value"))
+    head = lines.agg(F.count("*").alias("value")).select(F.lit(0).alias("part"), "value")
+    head.union(lines).orderBy("part", "value").select(F.col("value").cast("string").alias("value")).write.text(path)
 
 
 def write_table(rows: DataFrame, path: str) -> None:

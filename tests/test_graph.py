@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from motifold.functions import sets
 from motifold.graph import Graph
 from motifold.operators import ordering, patterns, similarity, stats, traversal
+from motifold.operators.components import components
+from motifold.plans import lineage
+from motifold.plans.orient import by_degree
 from motifold.sources import files, sinks
 
 
@@ -136,6 +139,138 @@ def test_edge_lists(spark, tmp_path):
     assert sorted(map(tuple, files.edge_list(spark, str(tmp_path / "e.txt"), True).edges.collect())) == [(1, 2), (2, 1), (3, 4), (5, 5)]
 
 
+def test_hubs_take_the_other_way(spark, monkeypatch):
+    """Small blocks, and wedges of some or all nodes dealt out by both ends: the same sums."""
+    r = random.Random(9)
+    pairs = [p for p in complete(11) if r.random() < 0.5] + [(0, i) for i in range(11, 30)] + [(1, i) for i in range(15, 26)]
+    want = loops(pairs)
+    for block, hub in ((2, 1), (3, 6), (4096, 10)):
+        monkeypatch.setattr(patterns, "BLOCK", block)
+        monkeypatch.setattr(patterns, "HUB", hub)
+        g = graph(spark, pairs)
+        assert (one(patterns.tadpoles(g)), one(patterns.fish(g))) == want[3:]
+    n = neighbours(pairs)
+    rows = patterns.edge_triangles(by_degree(graph(spark, pairs).edges)).collect()
+    assert {(min(x.src, x.dst), max(x.src, x.dst)): x.t for x in rows} == {p: len(n[p[0]] & n[p[1]]) for p in pairs}
+
+
+def test_slow_lollipops(spark):
+    """The tail written out: each triangle's corner with each of its neighbours."""
+    r = random.Random(3)
+    pairs = [p for p in complete(10) if r.random() < 0.5]
+    g = graph(spark, pairs)
+    e = g.edges
+    lists = patterns.clique_list(g, 3).select(F.explode(F.array("v1", "v2", "v3")).alias("src"))
+    assert one(patterns.lollipops(g)) == lists.join(e, "src").count()
+
+
+def queue_order(n, starts):
+    out, seen = [], set()
+    for s in starts:
+        if s not in seen:
+            queue = [s]
+            seen.add(s)
+            while queue:
+                x = queue.pop(0)
+                out.append(x)
+                for y in sorted(n[x]):
+                    if y not in seen:
+                        seen.add(y)
+                        queue.append(y)
+    return out
+
+
+@pytest.mark.parametrize("root", [None, 7])
+def test_breadth_first_order_is_a_queues(spark, root):
+    r = random.Random(6)
+    pairs = [(a + base, b + base) for base in (0, 40, 90) for a, b in complete(25) if r.random() < 0.09]
+    n = neighbours(pairs)
+    root = root if root in n else None
+    starts = ([root] if root is not None else []) + sorted(n)
+    want = queue_order(n, starts)
+    got = sorted(map(tuple, ordering.by_bfs(graph(spark, pairs), root).collect()), key=lambda x: x[1])
+    assert got == [(x, i) for i, x in enumerate(want)]
+    game = sorted(map(tuple, ordering.by_game(graph(spark, pairs), root).collect()), key=lambda x: x[1])
+    assert [x for x, _ in game] == sorted(want, key=lambda x: (-len(n[x]), want.index(x)))
+
+
+def test_components_say_when_they_did_not_settle(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(50)], "a bigint, b bigint")
+    assert {tuple(r) for r in components(chain).collect()} == {(i, 0) for i in range(1, 51)}
+    with pytest.raises(RuntimeError):
+        components(chain, rounds=1)
+
+
+def test_set_helpers(spark):
+    row = spark.createDataFrame([([1, 4], [2, 9], [3])], "a array<bigint>, b array<bigint>, c array<bigint>")
+    a, b, c = (F.col(x) for x in "abc")
+    assert list(row.select(sets.merge(a, b, c), sets.any_member(a, lambda x: x > 3), sets.any_member(c, lambda x: x > 3)).first()) == [[1, 2, 3, 4, 9], True, False]
+
+
+def test_blocks_hold_all_neighbours(spark):
+    g = graph(spark, [(1, x) for x in (2, 3, 300, 70_000, 70_001)], True)
+    rows = {(r.id, r.block): r.nbrs for r in g.adjacency_blocks(8).collect()}
+    assert rows == {(1, 0): [2, 3], (1, 1): [300], (1, 273): [70_000, 70_001]}
+    assert {(r.id, r.block): r.nbrs for r in g.adjacency_blocks(8, incoming=True).collect()} == {(x, 0): [1] for x in (2, 3, 300, 70_000, 70_001)}
+
+
+@pytest.mark.parametrize("directed", [True, False])
+def test_binary_files_come_back(spark, tmp_path, directed):
+    r = random.Random(5)
+    pairs = {(r.randrange(60) * 7, r.randrange(60) * 7) for _ in range(200)}
+    g = graph(spark, pairs, directed)
+    sinks.write_binary(g, str(tmp_path / "g.bin"), buffer=64)
+    raw = (tmp_path / "g.bin").read_bytes()
+    ids = sorted({x for p in pairs for x in p})
+    assert struct.unpack_from("=Q", raw)[0] == len(ids)
+    back = files.binary_adjacency(spark, str(tmp_path / "g.bin"), directed)
+    assert sorted(map(tuple, back.edges.collect())) == sorted(map(tuple, g.edges.collect()))
+
+
+def test_set_files(spark, tmp_path):
+    sinks.write_set(spark.range(1000).select(F.col("id").alias("value")).repartition(4), str(tmp_path / "s"))
+    assert sorted(r.value for r in files.set_file(spark, str(tmp_path / "s")).collect()) == list(range(1000))
+    (tmp_path / "bad.txt").write_text("4\n1\n5\n9\n")
+    with pytest.raises(ValueError):
+        files.set_file(spark, str(tmp_path / "bad.txt"))
+    runs = sorted(r.value for r in files.random_set(spark, 64, 10_000, 1, run=8).collect())
+    assert len(runs) <= 64 and sum(b - a == 1 for a, b in itertools.pairwise(runs)) >= len(runs) * 3 // 4
+    skewed = {r.value for r in files.skewed_set(spark, 20, 100, 50, 1).collect()}
+    assert set(range(100, 150)) <= skewed and len(skewed) <= 70
+
+
+def test_row_dumps_have_attributes_and_columns(spark, tmp_path):
+    edges = spark.createDataFrame([(1, 2, 5), (1, 300, 6), (2, 1, 7)], "src bigint, dst bigint, attr bigint")
+    g = Graph(edges, spark.createDataFrame([(1, 10), (2, 20), (300, 30)], "id bigint, attr bigint"), True)
+    sinks.write_rows(g, str(tmp_path / "r"))
+    got = [tuple(r) for r in spark.read.json(str(tmp_path / "r")).select("side", "id", "node_attr", "degree", "block", F.transform("members", lambda x: F.concat_ws(":", x["id"], x["attr"]))).collect()]
+    assert sorted(got) == [("column", 1, 10, 1, 0, ["2:7"]), ("column", 2, 20, 1, 0, ["1:5"]), ("column", 300, 30, 1, 0, ["1:6"]), ("row", 1, 10, 2, 0, ["2:5", "300:6"]), ("row", 2, 20, 1, 0, ["1:7"])]
+    assert {r.side for r in sinks.row_dump(graph(spark, [(1, 2)])).collect()} == {"row"}
+
+
+def test_medians_of_few_and_many(spark):
+    r = random.Random(4)
+    for n in (1, 2, 7, 400):
+        rows = [(r.choice([1, 2, 3, 10**6]), r.random()) for _ in range(n)]
+        df = spark.createDataFrame(rows, "c bigint, d double")
+        for name, own in (("c", sorted(x for x, _ in rows)), ("d", sorted(y for _, y in rows))):
+            assert stats._kth(df, name, n // 2, own[0], own[-1]) == own[n // 2]
+
+
+def test_clusters_need_a_shared_folder(spark):
+    class Elsewhere:
+        conf = type("C", (), {"get": staticmethod(lambda *_: None)})
+        sparkContext = type("S", (), {"master": "local-cluster[2,1,1024]", "getCheckpointDir": staticmethod(lambda: None)})
+
+    with pytest.raises(RuntimeError):
+        lineage.shared_dir(Elsewhere)
+    table = lineage.cut(spark.range(3))
+    assert table.count() == 3
+    lineage.release(table)
+    with pytest.raises(Exception, match="(?i)not.exist"):
+        spark.read.parquet(table.written_to)
+
+
 def test_attribute_lists(spark, tmp_path):
     (tmp_path / "e.txt").write_text("1|2|2012-03-04\n2 1 7\n3 4 9\n")
     (tmp_path / "n.txt").write_text("1|5\n9 9\n")
