@@ -186,6 +186,7 @@ QUERIES = {
     "set_strategies": _set_strategies,
     "synthetic_sets": _synthetic_sets,
     "adjacency_blocks": _adjacency_blocks,
+    "random_graph": lambda s, d: files.random_graph(s, 500, 3000, 4).edges,
     "bitmap_overlap": _bitmap_overlap,
     "edges_union": _two_sets(sets.relation_union),
     "edges_intersect": _two_sets(sets.relation_intersect),
@@ -249,6 +250,10 @@ _REC = """d AS MATERIALIZED (SELECT src AS a, dst AS b, 1 AS o, 0 AS i FROM e UN
 _ONE = "one AS (SELECT 1) "
 
 
+def _drawn(seed: int, top: int, name: str = "set") -> str:
+    return f"CAST('0x' || substr(md5('{seed}:{name}:' || i), 1, 12) AS BIGINT) % {top}"
+
+
 def _set_sizes(f: str) -> str:
     return U + _ADJ + _ONE + f"SELECT e.src, e.dst, CAST({f} AS BIGINT) AS n FROM e JOIN adj a ON a.id = e.src JOIN adj b ON b.id = e.dst WHERE e.src < e.dst"
 
@@ -308,6 +313,11 @@ ORACLE = {
     "attribute_files_directed": A + _ONE + "SELECT src, dst, attr, CAST(p_size AS BIGINT) AS size FROM e JOIN part ON p_partkey = src",
     "binary_files": D + _ONE + "SELECT src, dst FROM e UNION SELECT dst, src FROM e",
     "binary_files_directed": D + _ONE + "SELECT src, dst FROM e",
+    "synthetic_sets": f"""WITH t AS MATERIALIZED (SELECT DISTINCT 'runs' AS name, {_drawn(1, 20_000)} + k AS value FROM range(500) r(i), range(8) s(k) UNION ALL SELECT DISTINCT 'even', {_drawn(2, 20_000)} FROM range(4000) r(i)
+ UNION ALL SELECT DISTINCT 'skewed', {_drawn(3, 5000)} FROM range(1000) r(i) UNION ALL SELECT 'skewed', i FROM range(5000, 15000) r(i)), n AS (SELECT name, COUNT(*) AS n FROM t GROUP BY 1),
+ b AS (SELECT x.name AS a, y.name AS b, COUNT(*) AS n FROM t x JOIN t y USING (value) WHERE x.name < y.name GROUP BY 1, 2)
+ SELECT a, b, p.n AS size_a, q.n AS size_b, b.n AS n_join, b.n AS n_bitmap FROM b JOIN n p ON p.name = a JOIN n q ON q.name = b""",
+    "random_graph": f"""WITH e AS (SELECT {_drawn(4, 500, 'src')} AS src, {_drawn(4, 500, 'dst')} AS dst FROM range(3000) r(i)) SELECT src, dst FROM e WHERE src <> dst UNION SELECT dst, src FROM e WHERE src <> dst""",
     "bitmap_overlap": D + _ONE + "SELECT e.src, e.dst, COUNT(*) AS n FROM e JOIN e a ON a.src = e.src JOIN e b ON b.src = e.dst AND b.dst = a.dst GROUP BY 1, 2",
     "edges_union": D + _ONE + "SELECT src, dst FROM e UNION SELECT dst, src FROM e",
     "edges_intersect": D + _ONE + "SELECT src, dst FROM e INTERSECT SELECT dst, src FROM e",

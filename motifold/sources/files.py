@@ -125,9 +125,15 @@ def set_file(spark: SparkSession, path: str) -> DataFrame:
     return values
 
 
+def _drawn(seed: int, name: str, top: int) -> Column:
+    """A number below `top` for each `id`, the same whenever a row is computed again."""
+    hexes = F.substring(F.md5(F.concat(F.lit(f"{seed}:{name}:"), F.col("id").cast("string")).cast("binary")), 1, 12)
+    return F.conv(hexes, 16, 10).cast("bigint") % top
+
+
 def random_set(spark: SparkSession, n: int, top: int, seed: int = 0, run: int = 1) -> DataFrame:
     """(value): about n distinct values from 0 on, in runs of `run` consecutive ones that begin below `top`, evenly spread."""
-    starts = spark.range(-(-n // run)).select(F.floor(F.rand(seed) * top).alias("value"))
+    starts = spark.range(-(-n // run)).select(_drawn(seed, "set", top).alias("value"))
     return starts.select(F.explode(F.sequence("value", F.col("value") + (run - 1))).alias("value")).distinct()
 
 
@@ -138,5 +144,5 @@ def skewed_set(spark: SparkSession, n: int, top: int, dense: int = 500_000, seed
 
 def random_graph(spark: SparkSession, nodes: int, edges: int, seed: int = 0) -> Graph:
     """An undirected graph of about `edges` edges between random nodes, without self-loops."""
-    pairs = spark.range(edges).select(F.floor(F.rand(seed) * nodes).alias("src"), F.floor(F.rand(seed + 1) * nodes).alias("dst"))
+    pairs = spark.range(edges).select(_drawn(seed, "src", nodes).alias("src"), _drawn(seed, "dst", nodes).alias("dst"))
     return Graph.from_pairs(pairs.where("src <> dst"))
