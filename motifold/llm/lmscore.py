@@ -1,6 +1,7 @@
 """Language-model scores: prediction by partial matching (PPM) over bytes, and a base of word counts.
 
-All n-grams of `ORDER` bytes of context and a byte are kept, however rare and however many: they are what the
+The trie of contexts is held by levels: a level has the bytes seen after each context of its length, in order, and
+the context that escapes lead to is the same but for its first byte, a level below. All n-grams of `ORDER` bytes of context and a byte are kept, however rare and however many: they are what the
 model is. They are packed for each chunk of texts and dealt out by the last `TAIL` bytes of their contexts, so a shard
 has all that the code lengths of its n-grams need of contexts of TAIL bytes and more; the shorter ones are
 few (256 ** TAIL n-grams at most) and are broadcast. The code length of each n-gram that a chunk has
@@ -26,8 +27,8 @@ ORDER, TAIL, SHARDS = 5, 3, 256
 HALF = 0.5
 #: Ends a text and stands before it; this byte is in no UTF-8.
 MARK = 0xFF
-#: Bytes of text handled at a time; of a chunk whose words are numbered together; of a run scored in step.
-RUN, CHUNK, STEP = 1 << 21, 1 << 25, 256
+#: Bytes of text handled at a time; of a chunk whose words are numbered together.
+RUN, CHUNK = 1 << 21, 1 << 25
 #: Distinct words of a chunk, and distinct n-grams held by a task, after which they are passed on.
 WORDS, GRAMS = 1 << 20, 1 << 20
 
@@ -83,74 +84,6 @@ def merged(found: list):
     return keys[first], np.add.reduceat(counts, first) if len(keys) else counts
 
 
-class Trie:
-    """The model of a few texts, in memory: nodes by context, `step` (next node) and `cost` (log10 probability) for each class of byte.
-
-    rows: (order, context, byte, count) arrays of all bytes seen after the contexts that are kept.
-    """
-
-    def __init__(self, order, context, byte, count):
-        import numpy as np
-
-        seen = np.unique(byte[order == 0]) if len(order) else np.zeros(0, int)
-        self.classes = np.full(256, len(seen), np.uint16)  # bytes that were never seen share a class
-        self.classes[seen] = np.arange(len(seen))
-        size, unseen = len(seen) + 1, max(1, 256 - len(seen))
-        code = order << 56 | context
-        nodes = np.unique(np.concatenate(([0], code)))  # by order, then context
-        counts = np.zeros((len(nodes), size), np.float32)
-        counts[np.searchsorted(nodes, code), self.classes[byte]] = count
-        orders, contexts = nodes >> 56, nodes & ((1 << 56) - 1)
-        rest = np.zeros_like(counts)  # of bytes not seen at a node: probability after its escape
-        prob = np.zeros_like(counts)
-        step = np.zeros((len(nodes), size), np.uint16 if len(nodes) <= 1 << 16 else np.int32)
-        for o in range(int(orders.max()) + 1):
-            found = np.flatnonzero(orders == o)
-            for own in np.array_split(found, -(-len(found) // 4096)):
-                have = counts[own] > 0
-                if o == 0:
-                    rest[own] = 1 / unseen
-                else:
-                    up = np.searchsorted(nodes, (o - 1) << 56 | contexts[own] & ((1 << 8 * (o - 1)) - 1))
-                    step[own] = step[up]
-                    left = np.where(have, 0, np.maximum(counts[up] - HALF, 0))  # what exclusion leaves of the shorter context
-                    kinds = (left > 0).sum(1, keepdims=True)
-                    total = np.maximum(left.sum(1, keepdims=True) + HALF * kinds, 1e-30)
-                    escape = np.where(kinds > 0, HALF * kinds / total, 1.0)
-                    rest[own] = np.where(left > 0, left / total, escape * rest[up])
-                kinds = have.sum(1, keepdims=True)
-                total = np.maximum(counts[own].sum(1, keepdims=True), 1e-30)
-                prob[own] = np.where(have, (counts[own] - HALF) / total, np.where(kinds > 0, HALF * kinds / total, 1.0) * rest[own])
-            longer = np.flatnonzero(orders == o + 1)
-            if len(longer):  # reading a context's last byte at its prefix leads to it
-                prefix = np.searchsorted(nodes, o << 56 | contexts[longer] >> 8)
-                step[prefix, self.classes[contexts[longer] & 0xFF]] = longer
-        self.step, self.cost = step.ravel(), np.log10(prob, out=prob).ravel()
-        self.size = size
-
-    def score(self, texts: list[bytes], order: int = ORDER):
-        """log10 probability of each text and its end."""
-        import numpy as np
-
-        out = np.zeros(len(texts))
-        for a, valid, owner in segments(texts, order):
-            runs = -(-len(a) // STEP)
-            padded = np.full(order + runs * STEP, MARK, np.uint8)
-            padded[order : order + len(a)] = a
-            table = np.lib.stride_tricks.as_strided(self.classes[padded], (runs, STEP + order), (2 * STEP, 2))
-            table = np.ascontiguousarray(table.T).astype(np.int32)
-            costs = np.empty((STEP, runs), np.float32)
-            node = np.zeros(runs, np.int32)
-            for t in range(STEP + order):  # the first few bytes find the node at which a run begins
-                at = node * self.size + table[t]
-                if t >= order:
-                    self.cost.take(at, out=costs[t - order], mode="clip")
-                node = self.step.take(at, mode="clip").astype(np.int32)
-            flat = costs.T.ravel()[: len(a)]
-            out += np.bincount(owner[valid], flat[valid], len(texts))
-        return out
-
-
 def lowered(text: str | None) -> bytes:
     return (text or "").encode().lower()  # of bytes: A to Z alone
 

@@ -102,24 +102,26 @@ def slow_ppm(rows, order, texts):
     return out
 
 
-def test_ppm_matches_its_definition():
-    r = random.Random(4)
-    train = ["".join(r.choice("abcé ") for _ in range(r.randint(0, 60))).encode() for _ in range(30)]
-    keys, n = lmscore.grams(train, 3)
-    counts = Counter()
-    for key, k in zip(keys.tolist(), n.tolist()):
-        for o in range(4):
-            counts[o, (key >> 8) & ((1 << 8 * o) - 1), key & 255] += k
-    top = Counter()
-    for (o, c, _), k in counts.items():
-        top[o, c] += k
-    kept = set(sorted(top, key=lambda x: (-top[x], x))[:40])
-    rows = [(o, c, b, k) for (o, c, b), k in counts.items() if (o, c) in kept]
+def test_code_lengths_match_the_definition():
+    """Short and unseen contexts, bytes never seen, and n-grams that only other texts have."""
     import numpy as np
 
-    trie = lmscore.Trie(*(np.array(x) for x in zip(*rows)))
+    r = random.Random(4)
+    order = lmscore.ORDER
+    train = ["".join(r.choice("abcé ") for _ in range(r.randint(0, 60))).encode() for _ in range(30)]
     tests = [b"", b"abc", b"zzz ab", "cab é bac".encode() * 90, *train[:5]]
-    assert trie.score(tests, 3) == pytest.approx(slow_ppm(rows, 3, tests), rel=1e-4)
+    rows = Counter()
+    for key, k in zip(*(x.tolist() for x in lmscore.grams(train))):
+        for o in range(order + 1):
+            rows[o, (key >> 8) & ((1 << 8 * o) - 1), key & 255] += k
+    keys, counts = lmscore.merged([lmscore.grams(train), tuple(x * f for x, f in zip(lmscore.grams(tests), (1, 0)))])
+    short = keys & ((1 << 8 * lmscore.TAIL) - 1)
+    costs = np.empty(len(keys))
+    for tail in np.unique(short >> 8):  # a shard has all n-grams with the same end of their contexts
+        own = ((keys >> 8) & ((1 << 8 * lmscore.TAIL) - 1)) % 3 == tail % 3
+        costs[own] = lmscore.code_lengths(keys[own], counts[own], lmscore.short_levels(*lmscore.merged([(short, counts)])))
+    got = lmscore.scores(tests, keys, costs)
+    assert got.tolist() == pytest.approx(slow_ppm([(*x, k) for x, k in rows.items()], order, tests), rel=1e-6)
 
 
 def test_scores(spark, odd, empty, texts):
