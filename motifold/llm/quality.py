@@ -163,27 +163,44 @@ def fit(buckets: list, values: list, good, held, steps: int = 80, penalty: float
     """(weights, a, b): the probability of good quality is sigmoid(a * margin + b)."""
     import numpy as np
 
-    rows = np.repeat(np.arange(len(buckets)), [len(x) for x in buckets])
-    at, x = np.concatenate(buckets), np.concatenate(values).astype(np.float64)
-    x = x * 30.0  # means are small; this is the scale of the steps below
-    y, size = np.asarray(good, float), 3 << BITS
-    mine = ~np.asarray(held)[rows]
-    fr, fa, fx = rows[mine], at[mine], x[mine]
-    train = ~np.asarray(held)
+    y, held = np.asarray(good, float), np.asarray(held)
+    train, size = ~held, 3 << BITS
+
+    def flat(which):
+        """The n-grams of some rows, one row after the other, and the sums of values over each row."""
+        lengths = np.array([len(buckets[i]) for i in which], np.int64)
+        full = np.flatnonzero(lengths)
+        starts = (np.cumsum(lengths) - lengths)[full]
+
+        def sums(v):
+            out = np.zeros(len(which))
+            out[full] = np.add.reduceat(v, starts) if len(full) else 0.0
+            return out
+
+        at, x = (np.concatenate([np.zeros(0, kind), *(parts[i] for i in which)], dtype=kind) for parts, kind in ((buckets, np.int64), (values, np.float64)))
+        x *= 30.0  # means are small; this is the scale of the steps below
+        return at, x, lengths, sums
+
+    mine = np.flatnonzero(train)
+    at, x, lengths, sums = flat(mine)
     share = y[train].mean()
-    cost = np.where(y > 0, 0.5 / max(share, 1e-9), 0.5 / max(1 - share, 1e-9)) * train / train.sum()
+    cost = np.where(y[mine] > 0, 0.5 / max(share, 1e-9), 0.5 / max(1 - share, 1e-9)) / len(mine)
     w, b, velocity, vb = np.zeros(size), 0.0, np.zeros(size), 0.0
-    curve = 0.25 * np.bincount(fa, cost[fr] * fx * fx, size) + 0.02  # a bound of each weight's curvature, damped
+    curve = 0.25 * np.bincount(at, np.repeat(cost, lengths) * x * x, size) + 0.02  # a bound of each weight's curvature, damped
     for _ in range(steps):
         ahead = w + 0.9 * velocity
-        m = np.bincount(fr, fx * ahead[fa], len(y)) + b + 0.9 * vb
-        err = cost * (1 / (1 + np.exp(-np.clip(m, -30, 30))) - y)
-        grad = np.bincount(fa, fx * err[fr], size) + penalty * ahead
+        m = sums(x * ahead[at]) + b + 0.9 * vb
+        err = cost * (1 / (1 + np.exp(-np.clip(m, -30, 30))) - y[mine])
+        grad = np.bincount(at, x * np.repeat(err, lengths), size) + penalty * ahead
         velocity = 0.9 * velocity - 0.1 * grad / curve
         vb = 0.9 * vb - 0.4 * err.sum()
         w, b = w + velocity, b + vb
-    margin = np.bincount(rows, x * w[at], len(y))
-    use = np.asarray(held) if 0 < y[np.asarray(held)].sum() < np.asarray(held).sum() else train
+    margin = np.zeros(len(y))
+    margin[mine] = sums(x * w[at])
+    del at, x
+    at, x, _, sums = flat(np.flatnonzero(held))
+    margin[held] = sums(x * w[at])
+    use = held if 0 < y[held].sum() < held.sum() else train
     m, t = margin[use], y[use]
     pos, neg = t.sum(), len(t) - t.sum()
     goal = np.where(t > 0, (pos + 1) / (pos + 2), 1 / (neg + 2))
@@ -220,15 +237,15 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE):
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x for x, _ in both], pa.binary()), pa.array([x for _, x in both], pa.binary())], names=["doc_id", "quality", "at", "x"])
 
     kinds = [texts.schema[n].dataType.simpleString() for n in ("doc_id", "quality")]
-    rows = texts.mapInArrow(batches, f"doc_id {kinds[0]}, quality {kinds[1]}, at binary, x binary").collect()
-    rows.sort(key=lambda r: r.doc_id)
-    good = [r.quality > 0 for r in rows]
+    rows = texts.mapInArrow(batches, f"doc_id {kinds[0]}, quality {kinds[1]}, at binary, x binary").toArrow().sort_by("doc_id")  # at most `sample` rows
+    good = [x > 0 for x in rows["quality"].to_pylist()]
     if all(good) or not any(good):
         return None
-    held = [i % 4 == 0 for i in range(len(rows))]
+    held = [i % 4 == 0 for i in range(len(good))]
     if len({g for g, h in zip(good, held) if not h}) < 2:
-        held = [False] * len(rows)
-    return fit([np.frombuffer(r.at, np.int32) for r in rows], [np.frombuffer(r.x, np.float32) for r in rows], good, held)
+        held = [False] * len(good)
+    numbers = lambda name, kind: [np.frombuffer(x.as_buffer(), kind) for x in rows[name]]
+    return fit(numbers("at", np.int32), numbers("x", np.float32), good, held)
 
 
 def score(docs: DataFrame, model, text: str = "text", whole: bool = False, keep: float = KEEP) -> DataFrame:
