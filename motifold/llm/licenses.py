@@ -87,7 +87,7 @@ OTHER = [
     ("apachecopy", "you may obtain a copy of the license at*"),
     ("apachetext", "apache license version 2 0 january 2004( http www apache org licenses)?*"),
     ("gplnotice", NOTICE % ""),
-    ("lgplnotice", NOTICE % "lesser "),
+    ("lgplnotice", NOTICE % "(lesser|library) "),
     ("agplnotice", NOTICE % "affero "),
     ("gplnotice3plus", NOTICE % "" + " either version 3 of the license or at your option any later version"),
     ("gplnotice2plus", NOTICE % "" + " either version 2 of the license or at your option any later version"),
@@ -146,6 +146,8 @@ RULES = [
     ("GPL", "gplnotice,"),
     ("LGPL-3.0-or-later", "(lgplnotice3plus,|lgplnotice,v3plus,)"),
     ("LGPL-2.1-or-later", "(lgplnotice21plus,|lgplnotice,v21plus,)"),
+    ("LGPL-2.0-or-later", "lgplnotice,v2plus,"),
+    ("LGPL", "lgplnotice,"),
     ("AGPL-3.0-or-later", "(agplnotice3plus,|agplnotice,v3plus,)"),
     ("GPL-3.0", "gpltext3,(gnucopies,)?"),
     ("GPL-2.0", "gpltext2,(gnucopies,)?"),

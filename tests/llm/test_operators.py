@@ -920,7 +920,7 @@ Unless required by applicable law or agreed to in writing, software
 distributed under the License is distributed on an "AS IS" BASIS.
 """),
     ("Apache-2.0", "                                 Apache License\n                           Version 2.0, January 2004\n                        http://www.apache.org/licenses/\n\n   TERMS AND CONDITIONS\n"),
-    ("GPL-3.0-or-later", GNU % (":", "", ",", "3")), ("GPL-2.0-or-later", GNU % (";", "", ";", "2")), ("LGPL-2.1-or-later", GNU % (";", "Lesser ", ";", "2.1")), ("AGPL-3.0-or-later", GNU % (":", "Affero ", ",", "3")),
+    ("GPL-3.0-or-later", GNU % (":", "", ",", "3")), ("GPL-2.0-or-later", GNU % (";", "", ";", "2")), ("LGPL-2.1-or-later", GNU % (";", "Lesser ", ";", "2.1")), ("LGPL-2.0-or-later", GNU % (";", "Library ", ";", "2")), ("AGPL-3.0-or-later", GNU % (":", "Affero ", ",", "3")),
     ("GPL-3.0", "                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Copyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/>\n Everyone is permitted to copy and distribute verbatim copies\n of this license document, but changing it is not allowed.\n\n                            Preamble\n"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one at https://mozilla.org/MPL/2.0/.\n"),
     ("Zlib", "This software is provided 'as-is', without any express or implied\nwarranty. In no event will the authors be held liable.\n\nPermission is granted to anyone to use this software for any purpose,\nincluding commercial applications, and to alter it and redistribute it\nfreely, subject to the following restrictions:\n"),
