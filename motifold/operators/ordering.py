@@ -6,12 +6,12 @@ partition, and shifted by the sizes of the partitions before, so no task sees al
 
 from __future__ import annotations
 
-from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..graph import Graph
-from ..plans.lineage import cut
+from ..plans.lineage import cut, scratch
 from .components import components
 
 
@@ -81,20 +81,21 @@ def by_bfs(graph: Graph, root: int | None = None) -> DataFrame:
         roots = roots.withColumn("root", F.when(F.col("root") == home.root, root).otherwise(F.col("root")))
     roots = cut(roots.withColumn("later", F.lit(False) if root is None else F.col("root") != root))
     links = cut(graph.edges.select("src", "dst"))
-    front = numbered(roots.where("id = root"), F.asc("later"), F.asc("root")).withColumn("level", F.lit(0))
-    levels = []
-    while not front.isEmpty():
-        levels.append(front.select("id", "later", "root", "level", "new"))
-        seen = reduce(DataFrame.union, (x.select("id") for x in levels))
-        near = links.join(front.select(F.col("id").alias("src"), F.struct("new", "root", "later").alias("by")), "src")
-        near = near.groupBy(F.col("dst").alias("id")).agg(F.min("by").alias("by")).join(seen, "id", "left_anti")
-        near = near.select("id", "by.later", "by.root", F.col("by.new").alias("parent"))
-        front = numbered(near, F.asc("parent"), F.asc("id")).withColumn("level", F.lit(len(levels)))
-    if not levels:
-        return graph.edges.sparkSession.createDataFrame([], "old bigint, new bigint")
-    found = reduce(DataFrame.union, levels).withColumnRenamed("new", "pos")
+    path = scratch(roots.sparkSession)  # each level is added to what is seen
+    front, seen = roots.where("id = root"), None
+    order = [F.asc("later"), F.asc("root")]
+    for level in count():
+        front = numbered(front, *order).select("id", "later", "root", F.lit(level).alias("level"), F.col("new").alias("pos"))
+        seen = cut(front, path)
+        front = seen.where(F.col("level") == level)
+        if front.isEmpty():
+            break
+        near = links.join(front.select(F.col("id").alias("src"), F.struct("pos", "root", "later").alias("by")), "src")
+        near = near.groupBy(F.col("dst").alias("id")).agg(F.min("by").alias("by")).join(seen.select("id"), "id", "left_anti")
+        front = near.select("id", "by.later", "by.root", F.col("by.pos").alias("parent"))
+        order = [F.asc("parent"), F.asc("id")]
     # nodes that are only reached against the direction of edges come last in their component
-    rows = roots.join(found.select("id", "level", "pos"), "id", "left").select("id", "root", "later", F.coalesce("level", F.lit(1 << 30)).alias("level"), F.coalesce("pos", F.lit(0)).alias("pos"))
+    rows = roots.join(seen.select("id", "level", "pos"), "id", "left").select("id", "root", "later", F.coalesce("level", F.lit(1 << 30)).alias("level"), F.coalesce("pos", F.lit(0)).alias("pos"))
     return _map(rows, F.asc("later"), F.asc("root"), F.asc("level"), F.asc("pos"), F.asc("id"))
 
 

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from itertools import count
 
 from pyspark.sql import DataFrame, functions as F
 
 from ..graph import Graph
-from ..plans.lineage import cut
+from ..plans.lineage import cut, scratch
 
 UNBOUNDED = 0xEFFFFFF
 
@@ -26,16 +26,17 @@ def bfs_levels(graph: Graph, start: int | None = None, limit: int = UNBOUNDED) -
     else:
         graph.require(start)
     links = cut(graph.edges.select("src", "dst"))
-    front = spark.createDataFrame([(start, 0)], "id bigint, level bigint")
-    levels = [front]  # each is written once
-    while len(levels) <= limit:
-        near = links.join(front.select(F.col("id").alias("src")), "src").select(F.col("dst").alias("id")).distinct()
-        seen = reduce(DataFrame.union, (x.select("id") for x in levels))
-        front = cut(near.join(seen, "id", "left_anti").withColumn("level", F.lit(len(levels)).cast("bigint")))
-        if front.isEmpty():
+    path = scratch(spark)  # each level is added to what is seen
+    seen = cut(spark.createDataFrame([(start, 0)], "id bigint, level bigint"), path)
+    for level in count(1):
+        if level > limit:
             break
-        levels.append(front)
-    return reduce(DataFrame.union, levels)
+        front = seen.where(F.col("level") == level - 1).select(F.col("id").alias("src"))
+        near = links.join(front, "src").select(F.col("dst").alias("id")).distinct()
+        seen = cut(near.join(seen.select("id"), "id", "left_anti").withColumn("level", F.lit(level).cast("bigint")), path)
+        if seen.where(F.col("level") == level).isEmpty():
+            break
+    return seen
 
 
 def path_length(graph: Graph, start: int | None = None, limit: int = UNBOUNDED) -> DataFrame:

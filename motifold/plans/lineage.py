@@ -41,16 +41,16 @@ def scratch(spark: SparkSession) -> str:
     return f"{root}/{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write a table to the shared folder and read it again.
+def cut(df: DataFrame, path: str | None = None) -> DataFrame:
+    """Write a table to the shared folder and read it again; to a `path` of scratch(), add it to what is there and read it all.
 
     Whatever executor is lost later, the rows are neither computed again nor able to change. The table goes
     when the driver ends, or before by release() or sweep().
     """
     spark = df.sparkSession
-    name = scratch(spark)
+    name = path or scratch(spark)
     # rows can be large: small row groups, whose size is looked at often, keep writers and readers small
-    df.write.options(**{"compression": "zstd", "parquet.block.size": str(ROW_GROUP), "parquet.block.size.row.check.min": "8", "parquet.page.size.row.check.min": "8"}).parquet(name)
+    df.write.mode("append").options(**{"compression": "zstd", "parquet.block.size": str(ROW_GROUP), "parquet.block.size.row.check.min": "8", "parquet.page.size.row.check.min": "8"}).parquet(name)
     out = spark.read.schema(df.schema).parquet(name)
     out.written_to = name
     return out
