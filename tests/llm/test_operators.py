@@ -958,6 +958,30 @@ def test_notices_and_sentences_as_in_sql(spark):
     assert sorted(c.sql(licenses.oracle()).fetchall(), key=str) == got
 
 
+def asks_for_a_hint(parsed):
+    """Whether whatever matches a parsed pattern holds one of the hint's words."""
+    literal = ""
+    for op, arg in parsed:
+        name = str(op)
+        literal += chr(arg) if name == "LITERAL" else "\n"
+        if any(w in literal for w in licenses.HINT.split("|")):
+            return True
+        if name == "SUBPATTERN" and asks_for_a_hint(arg[3]):
+            return True
+        if name == "BRANCH" and all(asks_for_a_hint(x) for x in arg[1]):
+            return True
+        if name in ("MAX_REPEAT", "MIN_REPEAT") and arg[0] > 0 and asks_for_a_hint(arg[2]):
+            return True
+    return False
+
+
+def test_no_sentence_is_without_a_hint():
+    from re import _parser
+
+    assert asks_for_a_hint(_parser.parse(licenses.EVERY))
+    assert not asks_for_a_hint(_parser.parse("(?:licen|a)b")) and not asks_for_a_hint(_parser.parse("(?:licen)?b")) and asks_for_a_hint(_parser.parse("x(?:under|licen[sc]e)"))
+
+
 def test_rules_and_names_fit():
     """No rule or sentence is without a name, and each SPDX identifier maps back to itself."""
     assert set(licenses.IDENTIFIERS.values()) == set(licenses.SPDX)
