@@ -8,6 +8,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..graph import Graph
+from ..plans.lineage import cut
 
 # What separates the fields of a line.
 BETWEEN, BETWEEN_ATTRIBUTES = r"[ \tA]+", r"[ \tA|]+"
@@ -18,28 +19,46 @@ def _place() -> Column:
     return F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("line"))
 
 
-def _fields(spark: SparkSession, path: str, between: str, n: int) -> DataFrame:
-    """(f0, ..., pos): the first n fields of each line, null where a line has fewer, and the line's place."""
-    lines = spark.read.text(path).withColumn("pos", _place())
-    parts = F.filter(F.split("value", between, -1), lambda x: F.length(x) > 0)
-    return lines.select(parts.alias("x"), "pos").select(*(F.get("x", F.lit(i)).alias(f"f{i}") for i in range(n)), "pos")
+def _numbers(spark: SparkSession, path: str, between: str, names: list[str], placed: bool = False) -> DataFrame:
+    """The leading digits of the first fields of each line as longs, so of a date the year; null without any. placed: with `pos`, the line's place.
+
+    One pattern takes a line apart once, as expressions would do for each use of a field. 2**63 and more is an error.
+    """
+    apart, other = between[:-1], f"[^{between[1:-2]}]"
+    pattern = f"^{apart}*" + f"{other}*{apart}*".join(f"(?P<{x}>[0-9]*)" for x in names)
+
+    def parse(it):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        for batch in it:
+            found = pc.extract_regex(batch.column(0), pattern)
+            digits = [pc.struct_field(found, x).cast(pa.string()) for x in names]
+            numbers = [pc.if_else(pc.equal(x, ""), pa.scalar(None, pa.string()), x).cast(pa.int64()) for x in digits]
+            yield pa.RecordBatch.from_arrays(numbers + batch.columns[1:], names=names + batch.schema.names[1:])
+
+    lines = _placed(spark.read.text(path)) if placed else spark.read.text(path)
+    return lines.select(F.col("value").cast("binary"), *["pos"] * placed).mapInArrow(parse, ", ".join(f"{x} bigint" for x in names) + ", pos bigint" * placed)
 
 
-def _long(name: str) -> Column:
-    """The leading digits, so of a date the year; null without any. Beyond 2**63 - 1 the cast raises an error."""
-    digits = F.regexp_extract(name, r"^(\d+)", 1)
-    return F.when(F.length(digits) > 0, digits).cast("bigint")
+def _placed(lines: DataFrame) -> DataFrame:
+    """Lines of files with `pos`, the same order as _place() as one number, which hash tables can hold: the split's number, then the line within its task."""
+    split = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start")]
+    found = sorted((r.file, r.start) for r in lines.select(*split).distinct().collect())  # a row for each split
+    at = lines.sparkSession.createDataFrame([(*x, i) for i, x in enumerate(found)], "file string, start bigint, split bigint")
+    rows = lines.select("value", *split, F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("line")).join(F.broadcast(at), ["file", "start"], "left")
+    known = F.coalesce("split", F.raise_error(F.lit("files were split anew between two readings")).cast("bigint"))
+    return rows.select("value", (F.shiftleft(known, 33) + F.col("line")).alias("pos"))
 
 
 def edge_list(spark: SparkSession, path: str, directed: bool = False) -> Graph:
     """Lines `src dst`. Undirected: both directions. Repeated edges count once, self-loops stay, lines without two numbers are passed over."""
-    rows = _fields(spark, path, BETWEEN, 2)
-    return Graph.from_pairs(rows.select(_long("f0").alias("src"), _long("f1").alias("dst")), directed)
+    return Graph.from_pairs(_numbers(spark, path, BETWEEN, ["src", "dst"]), directed)
 
 
 def node_attributes(spark: SparkSession, path: str) -> DataFrame:
     """(id, attr) of lines `id attr`; of lines with the same id, the last counts."""
-    rows = _fields(spark, path, BETWEEN_ATTRIBUTES, 2).select(_long("f0").alias("id"), _long("f1").alias("attr"), "pos").where("id is not null")
+    rows = _numbers(spark, path, BETWEEN_ATTRIBUTES, ["id", "attr"], True).where("id is not null")
     return rows.groupBy("id").agg(F.max_by("attr", "pos").alias("attr"))
 
 
@@ -47,17 +66,18 @@ def attribute_list(spark: SparkSession, path: str, node_path: str, directed: boo
     """Lines `src dst attr`, and node attributes.
 
     Undirected: of lines with the same two nodes, in either order, the first counts, in both directions.
-    Directed: all lines count, parallel edges too. Attributes of nodes without edges are left out, those that are missing are 0.
+    Directed: all lines count, parallel edges too. Lines are read once, and edges written. Attributes of nodes without edges are left out, those that are missing are 0.
     """
-    between = BETWEEN if directed else BETWEEN_ATTRIBUTES
-    rows = _fields(spark, path, between, 3).select(_long("f0").alias("src"), _long("f1").alias("dst"), F.coalesce(_long("f2"), F.lit(0)).alias("attr"), "pos").where("src is not null and dst is not null")
+    rows = _numbers(spark, path, BETWEEN if directed else BETWEEN_ATTRIBUTES, ["src", "dst", "attr"], not directed).where("src is not null and dst is not null")
+    rows = rows.withColumn("attr", F.coalesce("attr", F.lit(0).cast("bigint")))
     if directed:
-        edges = rows.drop("pos")
+        edges = rows = cut(rows)
     else:
         once = rows.groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(F.min_by("attr", "pos").alias("attr"))
-        edges = once.select(F.col("a").alias("src"), F.col("b").alias("dst"), "attr").union(once.where("a <> b").select("b", "a", "attr"))
-    bare = Graph(edges, None, directed)
-    nodes = bare.node_table().select("id").join(node_attributes(spark, node_path), "id", "left").select("id", F.coalesce("attr", F.lit(0)).alias("attr"))
+        rows = cut(once.select(F.col("a").alias("src"), F.col("b").alias("dst"), "attr"))
+        edges = rows.union(rows.where("src <> dst").select("dst", "src", "attr"))
+    ends = rows.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
+    nodes = ends.join(node_attributes(spark, node_path), "id", "left").select("id", F.coalesce("attr", F.lit(0)).alias("attr"))
     return Graph(edges, nodes, directed)
 
 

@@ -315,3 +315,40 @@ def test_products_and_statistics(spark):
 def test_random_sources(spark):
     assert files.random_set(spark, 50, 10, 1).count() <= 10
     assert files.random_graph(spark, 10, 30, 2).edges.where("src = dst").isEmpty()
+
+
+def test_lines_are_taken_apart_once(spark, tmp_path):
+    """Each line is read by one scan, whatever its edges and nodes are asked for; fields are their leading digits."""
+    (tmp_path / "e.txt").write_bytes(b"1 2 3\n\nA4\t\t5A2012-03\n x 6\n7 \xff\n8 9\n\xc3\xa4 1 2\n10 11 z\n0012 9223372036854775807 1\n2 1 8\n 5 \n5 5 5 5\n")
+    (tmp_path / "n.txt").write_text("1 5\n1|6\n4\n")
+    directed = files.attribute_list(spark, str(tmp_path / "e.txt"), str(tmp_path / "n.txt"), True)
+    lines = [(1, 2, 3), (2, 1, 8), (4, 5, 2012), (5, 5, 5), (8, 9, 0), (10, 11, 0), (12, (1 << 63) - 1, 1)]
+    assert sorted(map(tuple, directed.edges.collect())) == lines
+    g = files.attribute_list(spark, str(tmp_path / "e.txt"), str(tmp_path / "n.txt"))
+    once = [x for x in lines if x != (2, 1, 8)]
+    assert sorted(map(tuple, g.edges.collect())) == sorted(once + [(b, a, c) for a, b, c in once if a != b])
+    assert dict(map(tuple, g.nodes.collect())) == {x: {1: 6}.get(x, 0) for e in once for x in e[:2]}
+    for graph_ in (directed, g):
+        plan = graph_.edges.join(graph_.nodes.toDF("src", "size"), "src")._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("value#") and "e.txt" not in plan
+        assert sum("Relation" in x and "text" in x for x in plan.splitlines()) == 1
+        assert "SortAggregate" not in graph_.nodes._jdf.queryExecution().executedPlan().toString()
+    (tmp_path / "big.txt").write_text("1 9223372036854775808\n")
+    with pytest.raises(Exception, match="9223372036854775808"):
+        files.edge_list(spark, str(tmp_path / "big.txt")).edges.collect()
+
+
+def test_the_first_and_the_last_line_count_over_splits(spark, tmp_path):
+    """Of an edge the first line counts, of a node the last, by the file's name and the place in it, in files of several splits."""
+    (tmp_path / "e").mkdir()
+    for name, first in (("b", 500), ("a", 0)):
+        (tmp_path / "e" / f"{name}.txt").write_text("".join(f"{i % 50} {i % 50 + 1} {first + i}\n" for i in range(300)))
+    size = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(size)
+    spark.conf.set(size, "500b")
+    try:
+        g = files.attribute_list(spark, str(tmp_path / "e"), str(tmp_path / "e"))
+        assert {(r.src, r.dst): r.attr for r in g.edges.where("src < dst").collect()} == {(i, i + 1): i for i in range(50)}
+        assert {r.id: r.attr for r in files.node_attributes(spark, str(tmp_path / "e")).collect()} == {i: i + 1 for i in range(50)}
+    finally:
+        spark.conf.set(size, before)
