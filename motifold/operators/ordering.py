@@ -63,36 +63,49 @@ def by_shingles(graph: Graph, seeds: tuple[int, int] = (1, 2)) -> DataFrame:
 
 def component_roots(graph: Graph) -> DataFrame:
     """(id, root): the smallest id of the component of each node, edges taken both ways."""
-    found = components(graph.edges.select(F.col("src").alias("a"), F.col("dst").alias("b")))
+    links = graph.edges if graph.directed else graph.edges.where("src < dst")  # the other direction says the same
+    found = components(links.select(F.col("src").alias("a"), F.col("dst").alias("b")))
     return graph.node_table().select("id").join(found.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("root", "id").alias("root"))
 
 
+#: Bits of an id that its block of a list of successors leaves out, which bounds the row of a hub.
+BITS = 20
+
+
+def _successors(graph: Graph) -> DataFrame:
+    """(src, to): each node's successors in blocks, written, as they are read for each level."""
+    return cut(graph.edges.groupBy("src", F.shiftright("dst", BITS).alias("block")).agg(F.collect_list("dst").alias("to")).select("src", "to"))
+
+
 def by_bfs(graph: Graph, root: int | None = None) -> DataFrame:
     """Breadth-first order, component by component, each from its smallest node (`root` in its own, which comes first).
 
     Within a level, nodes stand in the order of the first node that leads to them, as a queue would have them, then
     by id. All components go a level at a time together.
     """
-    roots = component_roots(graph)
+    return _by_bfs(graph, _successors(graph), root)
+
+
+def _by_bfs(graph: Graph, links: DataFrame, root: int | None) -> DataFrame:
+    roots = component_roots(Graph(links.select("src", F.explode("to").alias("dst")), graph.nodes, graph.directed))
     if root is not None:
         home = roots.where(F.col("id") == root).select("root").first()
         if home is None:
             raise ValueError(f"no such node: {root}")
         roots = roots.withColumn("root", F.when(F.col("root") == home.root, root).otherwise(F.col("root")))
     roots = cut(roots.withColumn("later", F.lit(False) if root is None else F.col("root") != root))
-    links = cut(graph.edges.select("src", "dst"))
     path = scratch(roots.sparkSession)  # each level is added to what is seen
     front, seen = roots.where("id = root"), None
     order = [F.asc("later"), F.asc("root")]
     for level in count():
-        front = numbered(front, *order).select("id", "later", "root", F.lit(level).alias("level"), F.col("new").alias("pos"))
+        front = numbered(front, *order).select("id", F.lit(level).alias("level"), F.col("new").alias("pos"))
         seen = cut(front, path)
         front = seen.where(F.col("level") == level)
         if front.isEmpty():
             break
-        near = links.join(front.select(F.col("id").alias("src"), F.struct("pos", "root", "later").alias("by")), "src")
-        near = near.groupBy(F.col("dst").alias("id")).agg(F.min("by").alias("by")).join(seen.select("id"), "id", "left_anti")
-        front = near.select("id", "by.later", "by.root", F.col("by.pos").alias("parent"))
+        # a node's number alone goes along the edges: its smallest is found in hash tables
+        near = links.join(front.select(F.col("id").alias("src"), "pos"), "src").select("pos", F.explode("to").alias("id"))
+        front = near.groupBy("id").agg(F.min("pos").alias("parent")).join(seen.select("id"), "id", "left_anti")
         order = [F.asc("parent"), F.asc("id")]
     # nodes that are only reached against the direction of edges come last in their component
     rows = roots.join(seen.select("id", "level", "pos"), "id", "left").select("id", "root", "later", F.coalesce("level", F.lit(1 << 30)).alias("level"), F.coalesce("pos", F.lit(0)).alias("pos"))
@@ -101,7 +114,9 @@ def by_bfs(graph: Graph, root: int | None = None) -> DataFrame:
 
 def by_game(graph: Graph, root: int | None = None) -> DataFrame:
     """Degree descending; of equals, in breadth-first order."""
-    rows = by_bfs(graph, root).withColumnRenamed("old", "id").withColumnRenamed("new", "b").join(graph.degrees(), "id", "left")
+    links = _successors(graph)
+    degree = links.groupBy(F.col("src").alias("id")).agg(F.sum(F.size("to")).alias("degree"))
+    rows = _by_bfs(graph, links, root).withColumnRenamed("old", "id").withColumnRenamed("new", "b").join(degree, "id", "left")
     return _map(rows, F.desc(F.coalesce("degree", F.lit(0))), F.asc("b"))
 
 

@@ -352,3 +352,22 @@ def test_the_first_and_the_last_line_count_over_splits(spark, tmp_path):
         assert {r.id: r.attr for r in files.node_attributes(spark, str(tmp_path / "e")).collect()} == {i: i + 1 for i in range(50)}
     finally:
         spark.conf.set(size, before)
+
+
+def test_breadth_first_orders_make_edges_once(spark, tmp_path):
+    """Edges that differ whenever they are made would give other degrees and levels; a marker counts the tasks that make them."""
+    made = spark.sparkContext.accumulator(0)
+
+    def watched(it):
+        made.add(1)
+        yield from it
+
+    pairs = [(a, b) for a, b in complete(12) if (a * b) % 3 == 1] + [(2, 3), (0, 20), (20, 3)]
+    both = sorted({p for a, b in pairs for p in ((a, b), (b, a))})
+    edges = spark.createDataFrame(both, "src bigint, dst bigint").coalesce(1).mapInArrow(watched, "src bigint, dst bigint")
+    n = neighbours(pairs)
+    want = queue_order(n, sorted(n))
+    for order, key in ((ordering.by_bfs, want.index), (ordering.by_game, lambda x: (-len(n[x]), want.index(x)))):
+        got = sorted(map(tuple, order(Graph(edges)).collect()), key=lambda x: x[1])
+        assert [x for x, _ in got] == sorted(want, key=key)
+    assert made.value == 2
