@@ -56,4 +56,4 @@ def dated_parts(spark: SparkSession, sf_dir: str) -> Graph:
     """Directed with attributes: an edge has the first year in which its source was shipped in such an order, a node its size."""
     edges = _shared(spark, sf_dir, "l_partkey", dated=True).groupBy("src", "dst").agg(F.min("attr").alias("attr"))
     nodes = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("id"), F.col("p_size").cast("bigint").alias("attr"))
-    return Graph(edges, nodes, True)
+    return Graph(edges, nodes, True, _partitions(spark, sf_dir))

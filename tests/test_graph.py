@@ -371,3 +371,29 @@ def test_breadth_first_orders_make_edges_once(spark, tmp_path):
         got = sorted(map(tuple, order(Graph(edges)).collect()), key=lambda x: x[1])
         assert [x for x, _ in got] == sorted(want, key=key)
     assert made.value == 2
+
+
+def test_row_dumps_are_read_off_one_order(spark):
+    """Blocks that begin, end and go on anywhere in batches of a few rows, parallel edges and missing attributes; no table of all nodes is made."""
+    r = random.Random(8)
+    edges = [(r.randrange(-3, 6), r.randrange(-20, 60), r.choice([None, 1, 2])) for _ in range(300)] + [(9, x, x) for x in range(70)]
+    nodes = {x: x * 10 for x in range(-3, 4)} | {5: None}
+    rows = spark.createDataFrame(edges, "src bigint, dst bigint, attr bigint")
+    g = Graph(rows, spark.createDataFrame(list(nodes.items()), "id bigint, attr bigint"), True, 3)
+    want = []
+    for side, ends in (("row", edges), ("column", [(b, a, c) for a, b, c in edges])):
+        for i, k in {(a, b >> 3) for a, b, _ in ends}:
+            members = sorted(((b, c) for a, b, c in ends if a == i and b >> 3 == k), key=lambda x: (x[0], x[1] or 0))
+            want.append((side, i, nodes.get(i) or 0, sum(a == i for a, _, _ in ends), k, members))
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(size)
+    try:
+        for n in (1, 7, 1000):
+            spark.conf.set(size, n)
+            got = [(*x[:5], [tuple(m) for m in x.members]) for x in sinks.row_dump(g, 3).collect()]
+            assert sorted(got, key=lambda x: x[:5]) == sorted(want, key=lambda x: (*x[:2], x[2], x[3], x[4]))
+    finally:
+        spark.conf.set(size, before)
+    plan = sinks.row_dump(g, 3)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") <= 2 and "Aggregate" not in plan
+    assert {x.node_attr for x in sinks.row_dump(Graph(rows.select("src", "dst"))).collect()} == {None}
