@@ -397,3 +397,21 @@ def test_row_dumps_are_read_off_one_order(spark):
     plan = sinks.row_dump(g, 3)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join") <= 2 and "Aggregate" not in plan
     assert {x.node_attr for x in sinks.row_dump(Graph(rows.select("src", "dst"))).collect()} == {None}
+
+
+def test_lines_are_joined_in_partitions_that_grow_with_the_table(spark, monkeypatch):
+    from motifold.sources import projections
+
+    monkeypatch.setattr(projections, "LINES", 500)
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(name)
+    spark.conf.set(name, -1)
+    try:
+        data = "/root/testdata/sf0.001"
+        n = -(-spark.read.parquet(f"{data}/lineitem.parquet").count() // 500)
+        for g in (projections.parts(spark, data), projections.dated_parts(spark, data)):
+            plan = g.edges._jdf.queryExecution().executedPlan().toString()
+            exchanges = [x for x in plan.splitlines() if "Exchange hashpartitioning" in x]
+            assert exchanges and all(f", {n})" in x for x in exchanges)
+    finally:
+        spark.conf.set(name, before)
