@@ -52,3 +52,45 @@ def test_binary_files_are_written_by_tasks(spark, tmp_path, monkeypatch):
     sinks.write_binary(g, str(tmp_path / "g.bin"), buffer=64)
     assert (tmp_path / "g.bin").stat().st_size == 8 + 24 * 500 + 8 * g.edges.count()
     assert sorted(map(tuple, files.binary_adjacency(spark, str(tmp_path / "g.bin"), True).edges.collect())) == sorted(map(tuple, g.edges.collect()))
+
+
+def test_lists_of_repeated_pairs(spark):
+    """Degrees, and sums of the neighbours' ones, whether ids are packed into one number or too far apart for it; pairs count once."""
+    for far in (1 << 40, 1 << 61):
+        pairs = [(1, 2), (2, 3), (1, 3), (3, far), (-far, 3), (7, 7), (-far, far)]
+        n = {a: sorted(b - {a}) for a, b in neighbours(pairs).items() if b - {a}}
+        both = spark.createDataFrame([p for p in pairs for p in (p, p[::-1])] * 3, "src bigint, dst bigint").repartition(3, "src")
+        for rows in (parts.lists(None, 3, True, both), parts.lists(both.distinct(), whole=True)):
+            got = {r.id: r for r in rows.collect()}
+            assert {x: sorted(r.up + r.low) for x, r in got.items()} == n
+            assert all((r.n, r.d, r.reach) == (len(r.up), len(n[x]), sum(len(n[y]) for y in n[x])) for x, r in got.items())
+            assert all(r.up == sorted(r.up, key=lambda y: (len(n[y]), y)) and set(r.below) == {y >> parts.BITS for y in r.low} for r in got.values())
+
+
+@pytest.mark.parametrize("name", ["common_neighbours", "neighbour_union", "neighbour_difference", "lollipops"])
+def test_edges_are_made_once(spark, name):
+    """Degrees come with the lists, so the lines aren't joined again for them."""
+    from motifold.queries import QUERIES
+
+    assert "l_orderkey" not in QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().analyzed().toString()
+
+
+def test_shares_are_summed_in_partitions_that_grow(spark, monkeypatch):
+    monkeypatch.setattr(parts, "PART", 20)
+    monkeypatch.setattr(parts, "BITS", 0)
+    shares = patterns.shared_neighbours(graph(spark, complete(30)))
+    assert shares.parts > 8 and "hashpartitioning(src#" in (plan := shares._jdf.queryExecution().executedPlan().toString()) and f", {shares.parts})" in plan
+    rows = shares.collect()
+    assert len(rows) == 435 and {(r.t, r.ds, r.dd) for r in rows} == {(28, 29, 29)}
+
+
+def test_tadpoles_write_nothing_but_lists(spark, monkeypatch):
+    """Reach and degrees are in the lists; nothing of each edge is written or joined. Corners of many wedges go in pieces."""
+    written = []
+    monkeypatch.setattr(patterns, "cut", lambda df: written.append(df.columns) or lineage.cut(df))
+    monkeypatch.setattr(parts, "WEDGES", 7)
+    r = random.Random(8)
+    pairs = [p for p in complete(12) if r.random() < 0.7]
+    g = graph(spark, pairs)
+    assert one(patterns.tadpoles(g)) == loops(pairs)[3] and len(written) == 1
+    assert one(patterns.fish(g)) == loops(pairs)[4]
