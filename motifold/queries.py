@@ -31,15 +31,15 @@ def _set_strategies(spark, sf_dir):
     """Sets of successors of each node and the next one: sizes of their algebra, by arrays, by a join and by bitmaps."""
     g = P.returned_parts(spark, sf_dir)
     order = _dense(g)
-    pairs = order.toDF("a", "k").join(order.select(F.col("old").alias("b"), (F.col("new") - 1).alias("k")), "k").select("a", "b")
+    pairs = order.toDF("a", "k").join(order.select(F.col("old").alias("b"), (F.col("new") - 1).alias("k")), "k").select("a", "b").repartition(g.partitions, "a")
     adj = g.adjacency()
-    rows = pairs.join(adj.select(F.col("id").alias("a"), F.col("nbrs").alias("na")), "a").join(adj.select(F.col("id").alias("b"), F.col("nbrs").alias("nb")), "b")
+    rows = pairs.join(adj.select(F.col("id").alias("a"), F.col("nbrs").alias("na")), "a").repartition(g.partitions, "b").join(adj.select(F.col("id").alias("b"), F.col("nbrs").alias("nb")), "b")
     na, nb = F.col("na"), F.col("nb")
     first = F.array_min(nb)
     rows = rows.select("a", "b", sets.intersection_size(na, nb).alias("n_array"), F.size(sets.union(na, nb)).cast("bigint").alias("n_union"), F.size(sets.difference(na, nb)).cast("bigint").alias("n_only_a"), F.size(sets.merge(sets.difference(na, nb), nb)).cast("bigint").alias("n_merged"), sets.any_member(na, lambda x: x >= first).alias("reaches"))
     edges = g.edges
-    joined = pairs.join(edges.toDF("a", "x"), "a").join(edges.toDF("b", "x"), ["b", "x"]).groupBy("a", "b").agg(F.count("*").alias("n_join"))
-    maps = sets.bitmap_overlap(pairs, sets.bitmaps(edges, "src", "dst"), "src").withColumnRenamed("n", "n_bitmap")
+    joined = pairs.join(edges.toDF("a", "x"), "a").repartition(g.partitions, "b", "x").join(edges.toDF("b", "x").repartition(g.partitions, "b", "x"), ["b", "x"]).groupBy("a", "b").agg(F.count("*").alias("n_join"))
+    maps = sets.bitmap_overlap(pairs, sets.bitmaps(edges, "src", "dst"), "src", g.partitions).withColumnRenamed("n", "n_bitmap")
     return rows.join(joined, ["a", "b"], "left").join(maps, ["a", "b"], "left").fillna(0, ["n_join", "n_bitmap"])
 
 
@@ -103,7 +103,7 @@ def _adjacency_blocks(spark, sf_dir):
 def _bitmap_overlap(spark, sf_dir):
     g = P.returned_parts(spark, sf_dir)
     maps = sets.bitmaps(g.edges, "src", "dst")
-    return sets.bitmap_overlap(g.edges.select(F.col("src").alias("a"), F.col("dst").alias("b")), maps, "src").select(F.col("a").alias("src"), F.col("b").alias("dst"), "n")
+    return sets.bitmap_overlap(g.edges.select(F.col("src").alias("a"), F.col("dst").alias("b")), maps, "src", g.partitions).select(F.col("a").alias("src"), F.col("b").alias("dst"), "n")
 
 
 def _max_nbrs(spark, sf_dir):

@@ -415,3 +415,14 @@ def test_lines_are_joined_in_partitions_that_grow_with_the_table(spark, monkeypa
             assert exchanges and all(f", {n})" in x for x in exchanges)
     finally:
         spark.conf.set(name, before)
+
+
+def test_bitmaps_are_matched_in_partitions_that_grow(spark):
+    """No aggregate sorts bitmaps, joins of them run in as many partitions as told, and repeated pairs count once."""
+    rows = spark.createDataFrame([(k, x) for k in range(6) for x in range(0, 100_000, 1000 * (k + 1))], "k bigint, x bigint")
+    pairs = spark.createDataFrame([(a, b) for a in range(6) for b in range(6)] * 2, "a bigint, b bigint")
+    got = sets.bitmap_overlap(pairs, sets.bitmaps(rows, "k", "x"), "k", 7)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "bitmap_and_agg" not in plan and plan.count(", 7)") >= 5
+    of = lambda k: set(range(0, 100_000, 1000 * (k + 1)))
+    assert {(r.a, r.b): r.n for r in got.collect()} == {(a, b): len(of(a) & of(b)) for a in range(6) for b in range(6)}
