@@ -94,3 +94,28 @@ def test_tadpoles_write_nothing_but_lists(spark, monkeypatch):
     g = graph(spark, pairs)
     assert one(patterns.tadpoles(g)) == loops(pairs)[3] and len(written) == 1
     assert one(patterns.fish(g)) == loops(pairs)[4]
+
+
+def _copies(spark, path, k):
+    """The lines k times, keys shifted, in a folder."""
+    rows = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
+    keys = ("l_orderkey", "l_partkey", "l_suppkey")
+    top = rows.agg(*[(F.max(c) + 1).alias(c) for c in keys]).first()
+    rows = rows.crossJoin(spark.range(k).toDF("i"))
+    rows.select(*[(F.col(c) + F.col("i") * top[c]).alias(c) if c in keys else c for c in rows.columns if c != "i"]).write.parquet(f"{path}/lineitem.parquet")
+    return str(path)
+
+
+def _most(rows, n):
+    """The largest sum of n in one partition, and how often each n comes."""
+    return max(r.n for r in rows.groupBy(F.spark_partition_id()).agg(F.sum(n).alias("n")).collect()), {r[0]: r[1] for r in rows.groupBy(n).count().collect()}
+
+
+def test_a_task_of_degrees_holds_no_more_edges_of_a_larger_table(spark, tmp_path, monkeypatch):
+    from motifold.queries import QUERIES
+    from motifold.sources import projections
+
+    monkeypatch.setattr(projections, "LINES", 1000, raising=False)
+    (small, once), (large, often) = (_most(QUERIES["degrees"](spark, _copies(spark, tmp_path / str(k), k)), "degree") for k in (1, 6))
+    assert often == {d: 6 * c for d, c in once.items()}
+    assert large < 1.5 * small and large < sum(d * c for d, c in often.items()) / 18
