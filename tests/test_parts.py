@@ -119,3 +119,18 @@ def test_a_task_of_degrees_holds_no_more_edges_of_a_larger_table(spark, tmp_path
     (small, once), (large, often) = (_most(QUERIES["degrees"](spark, _copies(spark, tmp_path / str(k), k)), "degree") for k in (1, 6))
     assert often == {d: 6 * c for d, c in once.items()}
     assert large < 1.5 * small and large < sum(d * c for d, c in often.items()) / 18
+
+
+def test_a_task_of_dataset_stats_holds_no_more_edges_of_a_larger_table(spark, tmp_path, monkeypatch):
+    """The table of sets is written by tasks that hold as many edges; means, modes and medians are those of one copy."""
+    from motifold.operators import stats
+    from motifold.queries import QUERIES
+    from motifold.sources import projections
+
+    monkeypatch.setattr(projections, "LINES", 1000, raising=False)
+    tables = []
+    monkeypatch.setattr(stats, "cut", lambda df: tables.append(df) or lineage.cut(df))
+    once, often = (QUERIES["dataset_stats"](spark, _copies(spark, tmp_path / str(k), k)).first().asDict() for k in (1, 6))
+    assert often == once | {"n_sets": 6 * once["n_sets"], "dense_sets": 6 * once["dense_sets"]}
+    (small, sizes), (large, more) = (_most(t, "card") for t in tables)
+    assert more == {d: 6 * c for d, c in sizes.items()} and large < 1.5 * small
